@@ -24,9 +24,16 @@ def query(sql: str | None = None):
     return add
 
 
+def load() -> None:
+    """Import every module that registers queries."""
+    from dialecta.operators import reference_checks  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
