@@ -42,7 +42,10 @@ BITS = 20
 MIN_GAIN = 1.0  # of a word, while the model is fitted
 SURE_GAIN = 6.0  # of a word, for a document to be reported
 CACHE = 100_000  # words whose readings a task keeps
-UNLIKELY = -8.0
+#: Bytes of another table hardly ever happen to be UTF-8, so reading a word back as UTF-8 is evidence by itself;
+#: other swaps are tried only on words with a step this unlikely, and their gain is lowered by WEAK.
+UNLIKELY = -5.5
+WEAK = 4.0
 SOURCE_CLASSES = 256  # sources share swap shares by hash class, so the broadcast is bounded
 LEARNED = len(swaps())  # index of the reading with the learned letters
 ALL = 0xFFFFFF  # all languages together
@@ -113,30 +116,33 @@ class Model:
             return code
         return max(self.languages, key=lambda c: (float(self.steps(c, text).sum()), c))
 
-    def readings(self, lang: int, word: str) -> list[tuple[int, float, str]]:
+    def readings(self, lang: int, word: str, unlikely: bool) -> list[tuple[int, float, str]]:
         """(swap, gain in nats, text read back) for all swaps by which the word gains; kept for repeated words."""
-        kept = self.cache.get((lang, word))
+        kept = self.cache.get((lang, word, unlikely))
         if kept is not None:
             return kept
-        base = float(self.steps(lang, word).sum())
-        gains: dict[str, float] = {word: 0.0}
-        out = []
+        chains: list[tuple[int, list[str]]] = []
         for k, (w, r) in enumerate(swaps()):
-            z, best = undo(word, w, r), None
-            for _ in range(3):  # a text may have been misread more than once
-                if z is None or z == word:
-                    break
-                if z not in gains:
-                    gains[z] = float(self.steps(lang, z).sum()) - base
-                if best is None or gains[z] > best[0]:
-                    best = gains[z], z
-                if w != "utf-8" or z.isascii():
-                    break
-                z = undo(z, w, r)
-            if best is not None and best[0] > MIN_GAIN:
-                out.append((k, *best))
+            if w != "utf-8" and not unlikely:
+                continue
+            z, chain = undo(word, w, r), []
+            while z is not None and z != word and len(chain) < 3:  # a text may have been misread more than once
+                chain.append(z)
+                z = undo(z, w, r) if w == "utf-8" and not z.isascii() else None
+            if chain:
+                chains.append((k, chain))
+        texts = list(dict.fromkeys([word, *(z for _, chain in chains for z in chain)]))
+        ends = np.cumsum([len(z) + 1 for z in texts])
+        sums = np.concatenate(([0.0], np.cumsum(self.steps(lang, " ".join(texts)))))  # each text between two blanks
+        gains = dict(zip(texts, sums[ends] - sums[ends - [len(z) + 1 for z in texts]]))
+        out = []
+        for k, chain in chains:
+            best = max(chain, key=lambda z: gains[z])
+            gain = float(gains[best] - gains[word]) - (0.0 if swaps()[k][0] == "utf-8" else WEAK)
+            if gain > MIN_GAIN:
+                out.append((k, gain, best))
         if len(self.cache) < CACHE:
-            self.cache[lang, word] = out
+            self.cache[lang, word, unlikely] = out
         return out
 
 
@@ -150,9 +156,10 @@ def _judge(model: Model, text: str, lang: int, source: int):
     for m in _WORD.finditer(text):
         w = m.group(0)
         n[w] += 1
-        if w not in found and REPLACEMENT not in w and steps[m.start() : m.end() + 1].min() < UNLIKELY:
-            found[w] = {k: (gain + float(shares[k]), z) for k, gain, z in model.readings(lang, w)}
-            if not found[w] and letters and (z := w.translate(letters)) != w:
+        if w not in found and REPLACEMENT not in w:
+            unlikely = bool(steps[m.start() : m.end() + 1].min() < UNLIKELY)
+            found[w] = {k: (gain + float(shares[k]), z) for k, gain, z in model.readings(lang, w, unlikely)}
+            if not found[w] and unlikely and letters and (z := w.translate(letters)) != w:
                 gain = float(model.steps(lang, z).sum() - model.steps(lang, w).sum())
                 if gain > SURE_GAIN:
                     found[w] = {LEARNED: (gain, z)}

@@ -32,7 +32,7 @@ _SOFT = (
     "matched replace if distkey sortkey diststyle cluster partition partitioned clustered distribution comment options "
     "tblproperties location enforced identity encode collate generated always compound interleaved overwrite apply "
     "go alter drop truncate grant revoke call exec execute use declare begin commit rollback analyze vacuum copy refresh "
-    "explain describe show optimize rename procedure function trigger"
+    "explain describe show optimize rename procedure function trigger asc desc nulls first last"
 ).split()
 _CODE = {w: chr(0x4E00 + i) for i, w in enumerate(_RESERVED + _SOFT)}
 _SOFT_CHARS = "".join(_CODE[w] for w in _SOFT)
@@ -59,7 +59,8 @@ _PARTS = {
     "TEST": r"(?:<is><not>?+(?:<null>|<distinct><from>{PRIM}|{N}) | <not>?+ (?: <in>[AQ] | <between>{PRIM}<and>{PRIM} | (?:<like>|<ilike>|<rlike>|<similar>{N}){PRIM}(?:<escape>s)?+ ))",
     "E": r"(?:[ec]|{PRIM})",
     "ITEM": r"(?:\*|{E}(?:<as>(?:{N}|s)|[n])?+)",
-    "SORT": r"{E}[n]*+",
+    "SORT": r"{E}(?:<asc>|<desc>)?+(?:<nulls>(?:<first>|<last>))?+",
+    "ARG": r"(?:\*|{E}(?:<as>(?:{N}|s))?+)",
     "ALIAS": r"(?:<as>{N}|[n])A?+",
     "SOURCE": r"(?:<lateral>)?+(?:Q|{N}A?+|A){ALIAS}?+",
     "JOINED": r"(?:(?:<natural>|<inner>|(?:<left>|<right>|<full>)[n]?+<outer>?+)?+<join>{SOURCE}(?:<on>{E}|<using>A) | (?:<cross>|<natural>)<join>{SOURCE} | (?:<cross>|<outer>)<apply>{SOURCE} | <lateral><view>[n]*+{CALL}{N}(?:<as>{N}(?:,{N})*+)?+ | ,{SOURCE})",
@@ -104,17 +105,37 @@ _LOGIC = _compiled(r"<not>*+(?:c|{PRIM})(?:(?:<and>|<or>)<not>*+(?:c|{PRIM}))++
 _CASE = _compiled(r"{E}?+(?:<when>{E}<then>{E})++(?:<else>{E})?+")
 _INNER_CASE = _compiled(r"<case>([^()<case><end>]*+)<end>")
 _INNER = _compiled(r"\(([^()<case>]*+)\)")
-_ARGS = _compiled(r"(?: (?:<distinct>|<all>)?+{ITEM}(?:,{ITEM})*+(?:<order><by>{SORT}(?:,{SORT})*+)?+(?:<limit>0)?+ | {N}?+{E}?+<from>{E} | {PRIM}<in>{E} | {E}<as>{TYPE} | {SORT}(?:,{SORT})*+ )?+")
+_ARGS = _compiled(r"(?: (?:<distinct>|<all>)?+{ARG}(?:,{ARG})*+(?:<order><by>{SORT}(?:,{SORT})*+)?+(?:<limit>0)?+ | {N}?+{E}?+<from>{E} | {PRIM}<in>{E} | {E}<as>{TYPE} | {SORT}(?:,{SORT})*+ )?")
 _SUBQUERY = _compiled("{QUERY}")
 _COLUMNS = _compiled("(?:{COLUMN}|{RULE})(?:,(?:{COLUMN}|{RULE}))*+")
 _OPTIONS = _compiled("{OPTION}(?:,{OPTION})*+")
-_WINDOW = _compiled(r"{N}?+(?:<partition><by>{E}(?:,{E})*+)?+(?:<order><by>{SORT}(?:,{SORT})*+)?+(?:[n]<between>(?:{N}|0)++<and>(?:{N}|0)++|[n](?:{N}|0)++)?+")
+_WINDOW = _compiled(r"[nq]?+(?:<partition><by>{E}(?:,{E})*+)?+(?:<order><by>{SORT}(?:,{SORT})*+)?+(?:[n]<between>(?:{N}|0)++<and>(?:{N}|0)++|[n](?:{N}|0)++)?+")
 _STATEMENT = tuple(map(_compiled, _STATEMENTS))
-_BARE_SELECT = _compiled(r"<select>[^()<from>]*+q[^()<from>]*+")
-_SELECT, _WITH, _VALUES, _CREATE = (_CODE[w] for w in ("select", "with", "values", "create"))
+_SELECT, _WITH, _VALUES, _CREATE, _FROM = (_CODE[w] for w in ("select", "with", "values", "create", "from"))
 _ROUTINE = tuple(_CODE[w] for w in ("procedure", "function", "trigger"))
 
 
+def _bare_select(shape: str) -> bool:
+    """Whether the last SELECT names columns of tables but has no FROM: its end is missing."""
+    at = shape.rfind(_SELECT)
+    if at < 0:
+        return False
+    depth, names = 0, False
+    for i in range(at, len(shape)):
+        c = shape[i]
+        if c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                break
+        elif c == _FROM:
+            return False
+        elif c == "q" and shape[i + 1 : i + 2] != "(":
+            names = True
+    return names
+
+
 def _compact(shape: str) -> str:
     """Applied operators, tests and logic become one character each."""
     if "<" in shape:
@@ -127,8 +148,6 @@ def _group(body: str) -> str:
     """The character for a balanced group without brackets inside; x00 if no local grammar takes it."""
     c = body[:1]
     if c == _SELECT or c == _WITH or c == _VALUES or c == "Q" and len(body) > 1:
-        if _BARE_SELECT.fullmatch(body):
-            return "\x00"
         return "Q" if _SUBQUERY.fullmatch(_compact(body)) else "\x00"
     if body == "Q":
         return "Q"
@@ -153,6 +172,8 @@ def shape_ok(shape: str) -> bool:
         return False
     if shape[0] == _CREATE and any(c in shape[:5] for c in _ROUTINE):
         return shape.count("(") == shape.count(")") and len(shape) > 3
+    if _bare_select(shape):
+        return False
     case = _CODE["case"]
     while True:
         before = shape
@@ -164,8 +185,6 @@ def shape_ok(shape: str) -> bool:
             return False
         if shape == before:
             break
-    if _BARE_SELECT.fullmatch(shape):
-        return False
     shape = _compact(shape)
     return any(p.fullmatch(shape) for p in _STATEMENT)
 
@@ -182,7 +201,7 @@ _LEFTOVER = r"(?:(?<=\n)|\A)(?:[<>|=]{7}(?![<>|=])|@@ -\d|\+\+\+ |diff --git |[-
 def _lexer(family: str) -> re.Pattern:
     name = f"(?:{_QUOTES[family]}|{_IDENT})"
     return re.compile(
-        rf"/\*.*?\*/|--[^\n]*|{_STRINGS[family]}|{_LEFTOVER}|{name}(?:\s*\.\s*(?:{name}|\*))*(?:\s*\.)?|\d+(?:\.\d*)?(?:e[-+]?\d+)?(?!\w)|\.\d+|[^\s]",
+        rf"/\*.*?\*/|--[^\n]*|\$\$.*?\$\$|{_STRINGS[family]}|{_LEFTOVER}|{name}(?:\s*\.\s*(?:{name}|\*))*(?:\s*\.)?|\d+(?:\.\d*)?(?:e[-+]?\d+)?(?!\w)|\.\d+|[^\s]",
         re.S,
     )
 
@@ -203,6 +222,8 @@ class _Classes(dict):
         c = t[0]
         if c == "'" or c == '"' and self.tick:
             return "\x00" if len(t) == 1 else "s" if c == "'" else "z"  # z is never a name
+        if c == "$":
+            return "s" if len(t) > 3 else "\x00"
         if c.isdigit() or c == "." and len(t) > 1:
             return "0"
         if c in "-/":
@@ -214,7 +235,7 @@ class _Classes(dict):
         if c.isalpha() or c in '_@#"[`':
             if t[-1] == "*" and "." in t:
                 return "m"
-            return "q" if "." in _QUOTED.sub("", t) else "n"
+            return "q" if "." in _QUOTED.sub("", t) and not t.endswith((".nextval", ".currval")) else "n"
         return "\x00"
 
 
