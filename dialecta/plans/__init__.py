@@ -1 +1 @@
-"""TODO."""
+"""Queries written in the source dialects, planned by the front end."""

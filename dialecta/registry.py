@@ -26,7 +26,8 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Import every module that registers queries."""
-    from dialecta.operators import reference_checks  # noqa: F401
+    from dialecta.operators import reference_checks, relational  # noqa: F401
+    from dialecta.plans import dialect_queries, engine_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -37,3 +38,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     load()
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return queries()["snowflake_qualify"](spark, d)
