@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from dialecta.llm.textforms import copy_form, digest
+from dialecta.tables import written
 
 _KEYED = StructType([StructField("rid", LongType()), StructField("ckey", BinaryType())])
 
@@ -38,7 +39,7 @@ def copy_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def copy_groups(df: DataFrame, id_col: str, text_col: str, hot: int = 20_000, salts: int = 64) -> DataFrame:
     """(id_first, id_copy), one row per further copy of a group of two or more."""
-    keyed = copy_keys(df, id_col, text_col).distinct()
+    keyed = written(copy_keys(df, id_col, text_col).distinct(), "copy-keys")  # the texts are lexed once
     firsts = _firsts(keyed, hot, salts).where("n > 1")
     salt = F.pmod(F.xxhash64("rid"), F.col("n_salts")).cast("int")
     # the few rows of each salt of a hot key meet their own copy of the group's row
