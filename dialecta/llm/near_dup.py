@@ -13,9 +13,10 @@ either a telling subset or both emit prefixes, so no link is lost. Bands whose
 Hamming bound needs more than ``MAX_SIGNATURES`` signatures (the word sets of
 scripts) use prefixes only.
 
-A 128-bit parity sketch travels with each signature: its Hamming distance never
-exceeds that of the sets, so the join drops most false candidates before any
-set is moved. What remains is verified exactly.
+A 112-bit parity sketch and the set's size travel with each signature in two
+numbers: the sketch's Hamming distance never exceeds that of the sets, so the
+join drops most false candidates before any set is moved (sizes of ``WIDE`` and
+more stand for any such size). What remains is verified exactly.
 
 The order of features by frequency comes from a counter table of fixed size
 (2**ORDER_BITS), the only thing broadcast; any order gives the same result.
@@ -44,6 +45,7 @@ from dialecta.tables import written
 
 ORDER_BITS = 18
 MAX_SIGNATURES = 16
+SKETCH_BITS, WIDE = 112, 65_535
 #: A projection tells something if a feature in it has at most this count in the counter table.
 RARE = 2_000
 
@@ -124,10 +126,11 @@ def _batch_signatures(rid: np.ndarray, codes: np.ndarray, sizes: np.ndarray, cou
     row = np.repeat(np.arange(len(rid)), sizes)
     u = codes.view(np.uint32).astype(np.uint64)
     freq = counts[(u & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)]
-    bit = _mix(u, 1) & np.uint64(127)
+    bit = _mix(u, 1) % np.uint64(SKETCH_BITS)
     one = np.uint64(1) << (bit & np.uint64(63))
     low = np.bitwise_xor.reduceat(np.where(bit < 64, one, np.uint64(0)), starts)
     high = np.bitwise_xor.reduceat(np.where(bit >= 64, one, np.uint64(0)), starts)
+    high |= np.minimum(sizes, WIDE).astype(np.uint64) << np.uint64(48)
 
     # the prefix of every record by (count, code); a counter of one has no partner
     order = np.lexsort((u, freq, row))
@@ -185,8 +188,8 @@ def _signature_rows(counts_at, t: float):
                 rid, codes, sizes = _flat(b)
                 row, sig, low, high = _batch_signatures(rid, codes, sizes, counts_at.value, t)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (sig.view(np.int64), rid[row], sizes[row].astype(np.int32), low.view(np.int64)[row], high.view(np.int64)[row])],
-                    ["sig", "rid", "n", "p0", "p1"],
+                    [pa.array(x) for x in (sig.view(np.int64), rid[row], low.view(np.int64)[row], high.view(np.int64)[row])],
+                    ["sig", "rid", "p0", "p1"],
                 )
 
     return run
@@ -207,14 +210,16 @@ def similar_sets(sets: DataFrame, t: float) -> DataFrame:
     counted = sets.select("rid", "codes").mapInArrow(_counter_rows, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
     counts = np.ones(1 << ORDER_BITS, np.int32)
     counts[counted.column("bucket").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
-    signatures = sets.select("rid", "codes").mapInArrow(_signature_rows(spark.sparkContext.broadcast(counts), t), "sig long, rid long, n int, p0 long, p1 long")
+    signatures = sets.select("rid", "codes").mapInArrow(_signature_rows(spark.sparkContext.broadcast(counts), t), "sig long, rid long, p0 long, p1 long")
     a, b = signatures.alias("a"), signatures.alias("b")
-    bound = f"floor({(1 - t) / (1 + t)}D * (a.n + b.n) + 1e-9)"
+    na, nb, mask = "shiftrightunsigned(a.p1, 48)", "shiftrightunsigned(b.p1, 48)", (1 << 48) - 1
+    bound = f"floor({(1 - t) / (1 + t)}D * ({na} + {nb}) + 1e-9)"
+    apart = f"bit_count(a.p0 ^ b.p0) + bit_count((a.p1 ^ b.p1) & {mask}L)"
     candidates = (
         a.join(b, F.col("a.sig") == F.col("b.sig"))
         .where("a.rid < b.rid")
-        .where(f"a.n >= {t}D * b.n - 1e-9 and b.n >= {t}D * a.n - 1e-9")
-        .where(f"bit_count(a.p0 ^ b.p0) + bit_count(a.p1 ^ b.p1) <= {bound}")
+        .where(f"{na} >= {t}D * {nb} - 1e-9 and {nb} >= {t}D * {na} - 1e-9 or {na} = {WIDE} or {nb} = {WIDE}")
+        .where(f"{apart} <= {bound} or {na} = {WIDE} or {nb} = {WIDE}")
         .select(F.col("a.rid").alias("ra"), F.col("b.rid").alias("rb"))
         .distinct()
     )
