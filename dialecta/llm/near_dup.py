@@ -48,6 +48,9 @@ MAX_SIGNATURES = 16
 SKETCH_BITS, WIDE = 112, 65_535
 #: A projection tells something if a feature in it has at most this count in the counter table.
 RARE = 2_000
+#: A prefix feature with a larger count is no signature of its own: it is joined with each later feature of the
+#: prefix that is longer by one, as similar sets share two features of those.
+HOT = 3_000
 
 _FEATURES = "rid long, codes array<int>, skey binary, ckey binary, gkey binary"
 _FEATURES_ARROW = pa.schema([("rid", pa.int64()), ("codes", pa.list_(pa.int32())), ("skey", pa.binary()), ("ckey", pa.binary()), ("gkey", pa.binary())])
@@ -120,7 +123,7 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0)
 
 
-def _batch_signatures(rid: np.ndarray, codes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, t: float):
+def _batch_signatures(rid: np.ndarray, codes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, t: float, hot: int):
     """(row, signature) of all signatures of a batch of non-empty sets, and the two halves of the parity sketch per row."""
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     row = np.repeat(np.arange(len(rid)), sizes)
@@ -170,9 +173,19 @@ def _batch_signatures(rid: np.ndarray, codes: np.ndarray, sizes: np.ndarray, cou
                 fallback[at[~tell]] = True
                 rows.append(at[tell])
                 sigs.append(_mix(sig[tell], 100_000 + j * 1_000 + i * 100 + s))
-    pick = order[in_prefix & fallback[row] & (freq[order] > 1)]
+    f = freq[order]
+    wanted = in_prefix & fallback[row] & (f > 1)
+    pick = order[wanted & (f <= hot)]
     rows.append(row[pick])
     sigs.append(_mix(u[pick], 7))
+    at, longer = np.flatnonzero(wanted & (f > hot)), np.repeat(np.minimum(length + 1, sizes), sizes)
+    step = 1
+    while len(at):
+        at = at[place[at] + step < longer[at]]
+        first, second = order[at], order[at + step] if len(at) else at
+        rows.append(row[first])
+        sigs.append(_mix(_mix(u[first], 8) + u[second], 9))
+        step += 1
     return np.concatenate(rows), np.concatenate(sigs), low, high
 
 
@@ -181,12 +194,12 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return b.column(0).to_numpy(), lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
-def _signature_rows(counts_at, t: float):
+def _signature_rows(counts_at, t: float, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 rid, codes, sizes = _flat(b)
-                row, sig, low, high = _batch_signatures(rid, codes, sizes, counts_at.value, t)
+                row, sig, low, high = _batch_signatures(rid, codes, sizes, counts_at.value, t, hot)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (sig.view(np.int64), rid[row], low.view(np.int64)[row], high.view(np.int64)[row])],
                     ["sig", "rid", "p0", "p1"],
@@ -204,13 +217,13 @@ def _counter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "c"])
 
 
-def similar_sets(sets: DataFrame, t: float) -> DataFrame:
+def similar_sets(sets: DataFrame, t: float, hot: int = HOT) -> DataFrame:
     """(ra, rb, similarity), ra < rb: all pairs of the given distinct sets (rid, codes) with Jaccard similarity >= t."""
     spark = sets.sparkSession
     counted = sets.select("rid", "codes").mapInArrow(_counter_rows, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
     counts = np.ones(1 << ORDER_BITS, np.int32)
     counts[counted.column("bucket").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
-    signatures = sets.select("rid", "codes").mapInArrow(_signature_rows(spark.sparkContext.broadcast(counts), t), "sig long, rid long, p0 long, p1 long")
+    signatures = sets.select("rid", "codes").mapInArrow(_signature_rows(spark.sparkContext.broadcast(counts), t, hot), "sig long, rid long, p0 long, p1 long")
     a, b = signatures.alias("a"), signatures.alias("b")
     na, nb, mask = "shiftrightunsigned(a.p1, 48)", "shiftrightunsigned(b.p1, 48)", (1 << 48) - 1
     bound = f"floor({(1 - t) / (1 + t)}D * ({na} + {nb}) + 1e-9)"
@@ -242,10 +255,10 @@ def _sets_and_members(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, members.select("rid", "rep", "ckey", "gkey")
 
 
-def near_duplicate_pairs(features: DataFrame, t: float) -> DataFrame:
+def near_duplicate_pairs(features: DataFrame, t: float, hot: int = HOT) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all similar records; copies of each other and look-alikes are left out."""
     sets, members = _sets_and_members(features)
-    pairs = similar_sets(sets, t).select("ra", "rb")
+    pairs = similar_sets(sets, t, hot).select("ra", "rb")
     varied = members.groupBy("rep").agg(F.min("ckey").alias("lo"), F.max("ckey").alias("hi")).where("lo <> hi")
     links = pairs.unionByName(varied.select(F.col("rep").alias("ra"), F.col("rep").alias("rb")))
     a = members.select(F.col("rep").alias("ra"), F.col("rid").alias("xa"), F.col("ckey").alias("ca"), F.col("gkey").alias("ga"))
