@@ -75,8 +75,9 @@ def test_near_duplicates(spark, texts, empty, t):
         edited = [w for w in base if r.random() > 0.1] + r.sample(words, r.randint(0, 2))
         rows.append((i, " ".join(edited) or "w0"))
     df = spark.createDataFrame([(i, s, "clash") for i, s in rows], "id long, body string, codes string")
-    got = [tuple(x) for x in near_dup.near_duplicate_pairs(near_dup.text_features(df, "id", "body"), t).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, t) and got
+    for hot in (near_dup.HOT, 3):
+        got = [tuple(x) for x in near_dup.near_duplicate_pairs(near_dup.text_features(df, "id", "body"), t, hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, t) and got
     sets = df.select("id", F.split("body", " ").alias("e"))
     feats = near_dup.entry_features(sets, "id", F.col("e"))
     want = {(a, b) for a, s in rows for b, u in rows if a < b and len(set(s.split(" ")) & set(u.split(" "))) / len(set(s.split(" ")) | set(u.split(" "))) >= t}
