@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialecta.sqlfront.ddl import RoutineSpec, TableSpec, ViewSpec, parse_script
+from dialecta.sqlfront.dialects import dialect
 from dialecta.sqlfront.front import Finding, run, to_spark_sql
+from dialecta.sqlfront.types import parse_type, to_spark
 
 _FINDING = "object string, code string, severity string, message string"
 
@@ -28,16 +31,62 @@ def apply_ddl(spark: SparkSession, sql: str, source: str, location: str) -> Data
             parts = [c for c in spec.partition_by if c in df.columns]
             df.write.mode("overwrite" if spec.or_replace else "error").partitionBy(*parts).parquet(path)
             spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(label)
+        elif isinstance(spec, ViewSpec) and spec.materialized:
+            refresh(spark, spec, source, location)
         elif isinstance(spec, ViewSpec):
             text, findings = to_spark_sql(spec.query, source)
             out += [(label, f.code, f.severity, f.message) for f in findings]
             view = spark.sql(text)
             (view.toDF(*spec.columns) if spec.columns else view).createOrReplaceTempView(label)
         elif isinstance(spec, RoutineSpec):
-            out.append((label, f"{spec.kind.upper()}_UNSUPPORTED", "error", "routine bodies are not executed"))
+            made = spec.kind == "function" and register_function(spark, spec, source)
+            if not made:
+                out.append((label, f"{spec.kind.upper()}_UNSUPPORTED", "error", "routine bodies are not executed"))
     return spark.createDataFrame(out, _FINDING)
 
 
+def refresh(spark: SparkSession, spec: ViewSpec, source: str, location: str) -> DataFrame:
+    """(Re)builds a materialized view: its query's result as parquet, swapped in as a view of its name."""
+    import uuid
+
+    df = run(spark, spec.query, source)
+    df = df.toDF(*spec.columns) if spec.columns else df
+    path = f"{location}/{'.'.join(spec.name)}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fresh = spark.read.schema(df.schema).parquet(path)
+    fresh.createOrReplaceTempView(spec.name[-1])
+    return fresh
+
+
+def register_function(spark: SparkSession, spec: RoutineSpec, source: str) -> bool:
+    """A scalar SQL function whose body is one expression or query, as a temporary SQL function; False for others."""
+    d = dialect(source)
+    if (spec.language or "sql").lower() not in ("sql", "plpgsql") or re.search(r"(?i)\b(declare|loop|if\s+.*then|while|insert|update|delete)\b", spec.body):
+        return False
+    m = re.match(r"(?is)^\s*(?:begin\s+)?(?:return\s+)?(.+?)\s*;?\s*(?:end\s*;?)?\s*$", spec.body)
+    if not m:
+        return False
+    body = m.group(1)
+    params = []
+    for p in filter(None, (x.strip() for x in re.split(r",(?![^(]*\))", spec.parameters))):
+        word, _, kind = p.partition(" ")
+        clean = re.sub(r"(?i)^in\s+", "", kind.strip())
+        params.append(f"{word.lstrip('@')} {to_spark(parse_type(clean, d)).simpleString()}")
+        body = body.replace(word, word.lstrip("@"))
+    is_query = re.match(r"(?i)\s*(select|with)\b", body)
+    text = to_spark_sql(body if is_query else f"select {body}", source)[0]
+    expression = f"({text})" if is_query else text[len("SELECT") :].strip()
+    returns = re.sub(r"(?i)\s+(deterministic|immutable|stable|volatile)\s*$", "", spec.returns or "")
+    if returns.lower().startswith("table"):
+        columns = re.sub(r"(?i)^table\s*", "", returns).strip("() ")
+        shape = f"TABLE ({', '.join(f'{c.split()[0]} {to_spark(parse_type(c.split(maxsplit=1)[1], d)).simpleString()}' for c in re.split(r',(?![^(]*[)])', columns))})"
+        expression = text
+    else:
+        shape = to_spark(parse_type(returns, d)).simpleString()
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {spec.name[-1]}({', '.join(params)}) RETURNS {shape} RETURN {expression}")
+    return True
+
+
 def violations(spark: SparkSession, spec: TableSpec, data: DataFrame) -> DataFrame:
     """(constraint, n_violations) of every declared constraint over the data: one aggregate or anti join each."""
     found: list[DataFrame] = []

@@ -170,3 +170,19 @@ def test_dml_apply_swaps(spark, tmp_path):
 def test_fnv1a_known_value():
     assert fnv1a("a") & 0xFFFFFFFFFFFFFFFF == 0xAF63DC4C8601EC8C and fnv1a(None) is None
     assert plain(tree(tokens("a (b, c)", dialect("oracle")))) == "a (b, c)"
+
+
+def test_functions_and_materialized_views(spark, tmp_path):
+    from dialecta.sqlfront import limits
+
+    spark.createDataFrame([Row(a=1), Row(a=4)]).createOrReplaceTempView("fsrc")
+    script = """create function dbl(@x int) returns int as begin return isnull(@x, 0) * 2 end;
+create materialized view mv as select sum(a) as s from fsrc; create function many(k int) returns table (a bigint) as 'select a from fsrc where a > k'"""
+    notes = catalog.apply_ddl(spark, script.split(";")[0], "sqlserver", str(tmp_path)).collect()
+    assert not notes and spark.sql("select dbl(21) as v").first().v == 42
+    catalog.apply_ddl(spark, script.split(";")[1], "redshift", str(tmp_path))
+    assert spark.table("mv").first().s == 5
+    catalog.apply_ddl(spark, script.split(";")[2], "snowflake", str(tmp_path))
+    assert [r.a for r in spark.sql("select * from many(2)").collect()] == [4]
+    got = {x["feature"] for x in limits.limitations_for("fabric_dw", "redshift", "create table t (a int identity(1,1)) distkey(a)")}
+    assert got == {"DISTRIBUTION", "IDENTITY"} and limits.limitations(spark).count() > 50 and len(limits.dialects()) == 9
