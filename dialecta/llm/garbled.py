@@ -6,10 +6,10 @@ The model is fitted by expectation-maximisation:
 * language model: character bigrams per language, mixed with those of all
   languages, hashed into a counter table of fixed size (the only large thing
   broadcast), from all documents;
-* E-step: every word with an unlikely bigram is read back under each swap; the
-  posterior weighs the bigram likelihood of the result and the share of the
-  swap in the document's source. Letters that no known swap explains get their
-  expected readings from the neighbouring letters;
+* E-step, over distinct words with their counts: a word is read back under each
+  swap; the posterior weighs the bigram likelihood of the result and the share
+  of the swap in the word's source. Letters that no known swap explains get
+  their expected readings from the neighbouring letters;
 * M-step: swap shares per source, the byte-to-letter table per source and the
   bigram counts without the garbled words are estimated anew.
 
@@ -211,27 +211,51 @@ def _counted(kind, a, b, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, a, b)] + [pa.array(np.asarray(n, np.float64))], ["kind", "a", "b", "n"])
 
 
+_WORDS = "lang long, source long, word string, n long"
+
+
+def _word_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, source class, word, count) of words outside ASCII, added up before they are shuffled."""
+    n: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        lang, source, word = zip(*n)
+        out = pa.RecordBatch.from_arrays([pa.array(lang, pa.int64()), pa.array(source, pa.int64()), pa.array(word), pa.array(list(n.values()), pa.int64())], ["lang", "source", "word", "n"])
+        n.clear()
+        return out
+
+    for b in batches:
+        for _, text, label, source in _rows(b):
+            key = language(label), source_class(source)
+            for w in _WORD.findall(text):
+                if REPLACEMENT not in w:
+                    n[*key, w] += 1
+            if len(n) > CACHE:
+                yield flush()
+    if n:
+        yield flush()
+
+
 def _estimate_pass(shared):
-    """Expected changes of the model: kind 0 bigram counters, 2 swaps by source class, 3 letters by source class."""
+    """Expected changes of the model from distinct words: kind 0 bigram counters, 2 swaps by source class, 3 letters by source class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         change, used, letters = np.zeros(1 << BITS, np.int64), Counter(), Counter()
         for b in batches:
-            for _, text, label, source in _rows(b):
-                lang, sc = model.language_of(label, text), source_class(source)
-                found, n, best = _judge(model, text, lang, sc)
-                back = _readback(found, best)
-                for w, z in back.items():
-                    k = best if best in found[w] else max(found[w], key=lambda k: (found[w][k][0], -k))
-                    used[sc, k] += n[w]
-                    _add(change, lang, w, -n[w])
-                    _add(change, lang, z, n[w])
+            for lang, sc, w, n in _rows(b):
+                unlikely = bool(model.steps(lang, w).min() < UNLIKELY)
+                r = {k: (gain + float(model.shares[sc][k]), z) for k, gain, z in model.readings(lang, w, unlikely)}
+                if r and max(r.values())[0] > MIN_GAIN:
+                    k = max(r, key=lambda k: (r[k][0], -k))
+                    z = r[k][1]
+                    used[sc, k] += n
+                    _add(change, lang, w, -n)
+                    _add(change, lang, z, n)
                     if len(w) == len(z):
-                        letters.update({(sc, (ord(o) << 21) | ord(c)): n[w] for o, c in zip(w, z) if o != c})
-                for w, r in found.items():
-                    if not r:
-                        _expected_letters(model, lang, sc, w, n[w], letters)
+                        letters.update({(sc, (ord(o) << 21) | ord(c)): n for o, c in zip(w, z) if o != c})
+                elif unlikely:
+                    _expected_letters(model, lang, sc, w, n, letters)
         at = np.flatnonzero(change)
         yield _counted(np.zeros(len(at), np.int64), at, np.zeros(len(at), np.int64), change[at])
         for kind, counter in ((2, used), (3, letters)):
@@ -287,8 +311,9 @@ def fit(docs: DataFrame, rounds: int = 2) -> Model:
     model = Model(counts, shares, {}, languages, native)
 
     outside = docs.where(F.col("txt").rlike(r"[^\x00-\x7f]"))
+    words = written(outside.mapInArrow(_word_pass, _WORDS).groupBy("lang", "source", "word").agg(F.sum("n").alias("n")), "words")
     for _ in range(rounds):
-        got = outside.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model)), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
+        got = words.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model)), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
         kind, a, b, n = (got.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
         counts = model.counts.copy()
         counts[a[kind == 0]] += n[kind == 0].astype(np.int64)
