@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 #: Tables that texts are written in, and single-byte tables that they are misread with. Public codec names.
@@ -49,9 +48,6 @@ def swaps() -> tuple[tuple[str, str], ...]:
     return tuple(singles + multi)
 
 
-_OUTSIDE = re.compile("[^\x00-\x7f]+")
-
-
 def undo(text: str, written: str, read: str) -> str | None:
     """The text as written, if every character can be traced back to bytes; None otherwise."""
     if written in SINGLE and read in SINGLE:
@@ -69,3 +65,38 @@ def undo(text: str, written: str, read: str) -> str | None:
         return raw.decode(written)
     except (KeyError, UnicodeError):
         return None
+
+
+@cache
+def _by_reading() -> tuple[tuple[str, frozenset[str], tuple[tuple[int, str], ...]], ...]:
+    """Each reading table with its characters outside ASCII and the (number, written table) of its swaps."""
+    out: dict[str, list[tuple[int, str]]] = {}
+    for k, (w, r) in enumerate(swaps()):
+        out.setdefault(r, []).append((k, w))
+    return tuple((r, frozenset(c for c in reading(r) if ord(c) > 127) if r in SINGLE else frozenset(), tuple(pairs)) for r, pairs in out.items())
+
+
+def undone(text: str, only_utf8: bool) -> list[tuple[int, str]]:
+    """(swap number, text as written) of every swap that the text can be traced back by and that changes it."""
+    outside = {c for c in text if ord(c) > 127}
+    out = []
+    for r, known, pairs in _by_reading():
+        if known:
+            if not outside <= known:
+                continue
+            table = reading(r)
+            raw = bytes([table[c] for c in text])
+        else:
+            try:
+                raw = text.encode(r)
+            except UnicodeError:
+                continue
+        for k, w in pairs:
+            if w == "utf-8" or not only_utf8:
+                try:
+                    z = text.translate(letters(w, r)) if known and w in SINGLE else raw.decode(w)
+                except UnicodeError:
+                    continue
+                if z != text:
+                    out.append((k, z))
+    return out

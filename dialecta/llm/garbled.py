@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialecta.llm.codepages import swaps, undo
+from dialecta.llm.codepages import swaps, undo, undone
 from dialecta.tables import written
 
 BITS = 20
@@ -122,15 +122,16 @@ class Model:
         if kept is not None:
             return kept
         chains: list[tuple[int, list[str]]] = []
-        for k, (w, r) in enumerate(swaps()):
-            if w != "utf-8" and not unlikely:
-                continue
-            z, chain = undo(word, w, r), []
+        for k, z in undone(word, only_utf8=not unlikely):
+            chain, (w, r) = [], swaps()[k]
             while z is not None and z != word and len(chain) < 3:  # a text may have been misread more than once
                 chain.append(z)
                 z = undo(z, w, r) if w == "utf-8" and not z.isascii() else None
-            if chain:
-                chains.append((k, chain))
+            chains.append((k, chain))
+        if not chains:
+            if len(self.cache) < CACHE:
+                self.cache[lang, word, unlikely] = []
+            return []
         texts = list(dict.fromkeys([word, *(z for _, chain in chains for z in chain)]))
         ends = np.cumsum([len(z) + 1 for z in texts])
         sums = np.concatenate(([0.0], np.cumsum(self.steps(lang, " ".join(texts)))))  # each text between two blanks
@@ -312,6 +313,7 @@ def fit(docs: DataFrame, rounds: int = 2) -> Model:
 
     outside = docs.where(F.col("txt").rlike(r"[^\x00-\x7f]"))
     words = written(outside.mapInArrow(_word_pass, _WORDS).groupBy("lang", "source", "word").agg(F.sum("n").alias("n")), "words")
+    words = words.repartition(2 * spark.sparkContext.defaultParallelism)  # few bytes, much work a row
     for _ in range(rounds):
         got = words.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model)), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
         kind, a, b, n = (got.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
