@@ -381,9 +381,8 @@ def except_rows(spark, d):
 
 @query("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders)")
 def scalar_subquery(spark, d):
-    o = _t(spark, d, "orders")[0]
-    limit = o.agg((1.5 * F.avg("o_totalprice")).alias("m"))  # one row
-    return o.join(F.broadcast(limit), o.o_totalprice > F.col("m")).select("o_orderkey")
+    _t(spark, d, "orders")[0].createOrReplaceTempView("ssq_orders")
+    return spark.sql("SELECT o_orderkey FROM ssq_orders WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM ssq_orders)")
 
 
 @query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
@@ -428,6 +427,20 @@ def regex_functions(spark, d):
     return _t(spark, d, "part")[0].select("p_partkey", F.regexp_replace("p_brand", "[^0-9]", "").alias("digits"), F.regexp_extract("p_type", r"^(\w+)", 1).alias("head"))
 
 
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def variant_path(spark, d):
+    v = F.parse_json("props")
+    return _t(spark, d, "events")[0].select("event_id", F.variant_get(v, "$.k", "int").alias("k"))
+
+
+@query("SELECT true AS close")
+def table_sample(spark, d):
+    """A seeded sample of about half the rows; the comparison is on the share."""
+    li = _t(spark, d, "lineitem")[0]
+    share = li.sample(0.5, seed=7).agg(F.count("*").alias("n")).crossJoin(li.agg(F.count("*").alias("all_")))  # one row each
+    return share.select((F.col("n") / F.col("all_")).between(0.45, 0.55).alias("close"))
+
+
 # --- star queries
 
 

@@ -93,3 +93,12 @@ _dialect("redshift_window_ignore_nulls", "redshift", "SELECT o_orderkey, LAST_VA
 _dialect("redshift_recursive", "redshift", "WITH RECURSIVE d(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM d WHERE n < 12) SELECT n, COUNT(o_orderkey) AS orders FROM d LEFT JOIN orders ON EXTRACT(month FROM o_orderdate) = n GROUP BY n",
          "WITH RECURSIVE d(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM d WHERE n < 12) SELECT n, count(o_orderkey) AS orders FROM d LEFT JOIN orders ON month(o_orderdate) = n GROUP BY n")
 _dialect("redshift_fnv", "redshift", "SELECT count(DISTINCT FNV_HASH(c_name)) AS n FROM customer", "SELECT count(DISTINCT c_name) AS n FROM customer")
+_dialect("snowflake_variant", "snowflake", "SELECT e.event_id, PARSE_JSON(e.props):k::INT AS k, e.value::INT AS v FROM events e", "SELECT event_id, json_extract_string(props, '$.k')::INT AS k, trunc(value)::INT AS v FROM events")
+_dialect("redshift_json", "redshift", "SELECT event_id, JSON_EXTRACT_PATH_TEXT(props, 'k') AS k FROM events WHERE event_type ILIKE 'CLICK'", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_type ILIKE 'CLICK'")
+_dialect("redshift_not_in", "redshift", "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AND EXISTS (SELECT 1 FROM nation n WHERE n.n_nationkey = s_nationkey)",
+         "SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+_dialect("tsql_case_expression", "synapse", "SELECT o.[o_orderkey], CASE WHEN DATEDIFF(hour, o.[o_orderdate], DATEADD(day, 2, o.[o_orderdate])) = 48 THEN N'two' ELSE N'other' END AS k, TRY_CAST('x' AS INT) AS bad, IIF(o.o_totalprice > 100000, 1, 0) AS big FROM [orders] AS o",
+         "SELECT o_orderkey, 'two' AS k, NULL::INT AS bad, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS big FROM orders")
+_dialect("oracle_fetch_first", "oracle", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey FETCH FIRST 7 ROWS ONLY", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7")
+_dialect("bigquery_star_except", "bigquery", "SELECT * EXCEPT (c_acctbal, c_name) FROM customer WHERE c_mktsegment IN (\"BUILDING\", \"MACHINERY\")", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+_dialect("snowflake_union_minus", "snowflake", "SELECT n_nationkey FROM nation MINUS (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000 UNION SELECT 3)", "SELECT n_nationkey FROM nation EXCEPT (SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000 UNION SELECT 3)")

@@ -9,6 +9,7 @@ from dialecta import streaming
 from dialecta.plans.dialect_queries import with_views
 from dialecta.registry import query
 from dialecta.sqlfront import catalog, convert, ddl, dml
+from dialecta.sqlfront.front import run
 from dialecta.tables import read_table
 
 
@@ -89,3 +90,11 @@ s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
 def window_session(spark: SparkSession, d: str) -> DataFrame:
     return streaming.sessions(read_table(spark, d, "events"), "ts", "user_id", "6 hours", "1 day")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE upper(c_mktsegment) END AS label FROM customer")
+def sql_function(spark: SparkSession, d: str) -> DataFrame:
+    """A scalar function declared in T-SQL, called from T-SQL."""
+    spec = ddl.parse_script("CREATE FUNCTION label_of(@b FLOAT, @s VARCHAR(20)) RETURNS VARCHAR(20) AS BEGIN RETURN CASE WHEN @b < 0 THEN 'debt' ELSE UPPER(@s) END END", "sqlserver")[0][1]
+    catalog.register_function(with_views(spark, d), spec, "sqlserver")
+    return run(spark, "SELECT c_custkey, label_of(c_acctbal, c_mktsegment) AS label FROM customer", "sqlserver")

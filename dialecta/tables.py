@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +45,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not set_to:
         set_to = "file://" + os.path.join(tempfile.gettempdir(), f"dialecta-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(set_to)
+        atexit.register(shutil.rmtree, set_to.removeprefix("file://"), ignore_errors=True)
     return set_to
 
 

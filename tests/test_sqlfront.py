@@ -75,6 +75,9 @@ def test_rewrites_do_not_touch_literals():
     ("sqlserver", "select a from t order by a", "order by a"),
     ("sqlserver", "select x = a + 1 from t", "a + 1 AS x"),
     ("sqlserver", "select 'a' + b from t", "'a' || b"),
+    ("redshift", "select a.b::int from t", "cast(a.b AS int)"),
+    ("snowflake", "select t.v:a.b[0]::string from t", "try_variant_get(t.v, '$.a.b[0]', 'string')"),
+    ("bigquery", "select * except (a) from t", "* except (a)"),
     ("oracle", "select to_char(d, 'YYYY-MM-DD') from t", "'yyyy-MM-dd'"),
 ])
 def test_rewrite(source, sql, part):
