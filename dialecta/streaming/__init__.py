@@ -14,28 +14,35 @@ def event_stream(spark: SparkSession, folder: str, schema: T.StructType, files_p
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Events with a watermark where they stream; a time without zone is read in the session's zone there."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def tumbling(events: DataFrame, time: str, key: str, value: str, size: str, late: str) -> DataFrame:
     """(start, key, n, total) per window of fixed size; rows later than ``late`` are dropped by the watermark."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = _timed(events, time, late)
     return e.groupBy(F.window(time, size), key).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), key, "n", "total")
 
 
 def sliding(events: DataFrame, time: str, key: str, size: str, step: str, late: str) -> DataFrame:
     """(start, key, n) per overlapping window."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = _timed(events, time, late)
     return e.groupBy(F.window(time, size, step), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
 
 
 def sessions(events: DataFrame, time: str, key: str, gap: str, late: str) -> DataFrame:
     """(key, start, end, n) of bursts with no pause of ``gap`` or more."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = _timed(events, time, late)
     s = e.groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
     return s.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def deduplicated(events: DataFrame, id_col: str, time: str, late: str) -> DataFrame:
     """Each event once; state for an id is dropped when the watermark has passed it."""
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark([id_col]) if events.isStreaming else events.dropDuplicates([id_col])
+    return _timed(events, time, late).dropDuplicatesWithinWatermark([id_col]) if events.isStreaming else events.dropDuplicates([id_col])
 
 
 def upsert_sink(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
