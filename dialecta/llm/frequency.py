@@ -96,7 +96,8 @@ def frequencies(df: DataFrame, record_col: str, row_col: str, fields: list[str],
     cut = F.lag("hi").over(w) == F.col("lo")
     joined = runs.withColumn("twice", (cut & (F.col("lo") >= 0)).cast("long"))
     sums = joined.groupBy("field", "term").agg(F.sum("n_rows").alias("n_occurrences"), (F.sum("n_records") - F.coalesce(F.sum("twice"), F.lit(0))).alias("n_records"))
-    total = sums.where("field = '*'").select(F.col("n_records").alias("total"))  # one row
-    counted = sums.where("field <> '*'").join(F.broadcast(total), F.lit(True))
+    keyed = sums.withColumn("scope", F.lit("all"))
+    total = keyed.where("field = '*'").select("scope", F.col("n_records").alias("total"))  # one row
+    counted = keyed.where("field <> '*'").join(F.broadcast(total), "scope")
     mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > F.col("total") * common_above, "common")
     return counted.select(F.col("field").alias("field_name"), F.col("term").alias("field_value"), "n_occurrences", "n_records", mark.alias("mark"))
