@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialecta.sqlfront.ddl import RoutineSpec, TableSpec, ViewSpec, parse_script
+from dialecta.sqlfront.ddl import RoutineSpec, TableSpec, TriggerSpec, ViewSpec, parse_script
 from dialecta.sqlfront.dialects import dialect
 from dialecta.sqlfront.front import Finding, run, to_spark_sql
 from dialecta.sqlfront.types import parse_type, to_spark
@@ -38,6 +38,8 @@ def apply_ddl(spark: SparkSession, sql: str, source: str, location: str) -> Data
             out += [(label, f.code, f.severity, f.message) for f in findings]
             view = spark.sql(text)
             (view.toDF(*spec.columns) if spec.columns else view).createOrReplaceTempView(label)
+        elif isinstance(spec, TriggerSpec):
+            out.append((label, "TRIGGER_UNSUPPORTED", "error", "there are no triggers"))
         elif isinstance(spec, RoutineSpec):
             made = spec.kind == "function" and register_function(spark, spec, source)
             if not made:

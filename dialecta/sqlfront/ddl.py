@@ -84,7 +84,7 @@ class ViewSpec:
 
 @dataclass
 class RoutineSpec:
-    """A procedure, function or trigger: header parts and the body as text."""
+    """A procedure or function: header parts and the body as text."""
 
     kind: str
     name: list[str]
@@ -94,6 +94,20 @@ class RoutineSpec:
     language: str | None = None
 
 
+@dataclass
+class TriggerSpec:
+    """A trigger's header and its body as text."""
+
+    name: list[str]
+    timing: str  # BEFORE, AFTER or INSTEAD OF
+    events: list[str]
+    table: list[str]
+    each_row: bool
+    condition: str | None
+    body: str
+    kind: str = "trigger"
+
+
 class _Reader:
     """A cursor over the items of one statement."""
 
@@ -388,10 +402,10 @@ def parse_view(s: Statement, d: Dialect) -> ViewSpec:
 
 
 def parse_routine(s: Statement, d: Dialect) -> RoutineSpec:
-    """The header of a procedure, function or trigger; the body is not interpreted."""
+    """The header of a procedure or function; the body is not interpreted."""
     items = tree(s.tokens)
     r = _Reader(items, d)
-    while r.peek() is not None and not (r.peek().is_("PROCEDURE", "PROC", "FUNCTION", "TRIGGER")):
+    while r.peek() is not None and not (r.peek().is_("PROCEDURE", "PROC", "FUNCTION")):
         r.i += 1
     r.i += 1
     name = r.name()
@@ -418,6 +432,39 @@ def parse_routine(s: Statement, d: Dialect) -> RoutineSpec:
     return RoutineSpec(s.kind, name, params, text.strip(), returns, language)
 
 
+def parse_trigger(s: Statement, d: Dialect) -> TriggerSpec:
+    """A CREATE TRIGGER statement, with the table before or after the events."""
+    r = _Reader(tree(s.tokens), d)
+    while not r.take("TRIGGER"):
+        r.i += 1
+    t = TriggerSpec(r.name(), "AFTER", [], [], False, None, "")
+    begin = len(r.items)
+    while r.peek() is not None:
+        if r.take("INSTEAD", "OF"):
+            t.timing = "INSTEAD OF"
+        elif r.take("BEFORE") or r.take("AFTER"):
+            t.timing = r.items[r.i - 1].upper
+        elif r.take("ON"):
+            t.table = r.name()
+        elif r.take("FOR", "EACH", "ROW"):
+            t.each_row = True
+        elif r.peek().is_("INSERT", "UPDATE", "DELETE"):
+            t.events.append(r.peek().upper)
+            r.i += 1
+            if r.take("OF"):
+                t.events[-1] += " OF " + ", ".join(_listed(r))
+        elif r.take("WHEN"):
+            g = r.group()
+            t.condition = plain(g.items).strip() if g else None
+        elif r.peek().is_("AS", "BEGIN", "DECLARE", "EXECUTE", "CALL"):
+            begin = r.i + (1 if r.peek().is_("AS") else 0)
+            break
+        else:
+            r.i += 1
+    t.body = plain(r.items[begin:]).strip()
+    return t
+
+
 def parse_script(sql: str, source: str) -> list[tuple[Statement, object, list[Finding]]]:
     """Every statement of a script with its specification (None for queries and unsupported kinds)."""
     d = dialect(source)
@@ -429,7 +476,9 @@ def parse_script(sql: str, source: str) -> list[tuple[Statement, object, list[Fi
                 out.append((s, spec, notes))
             elif s.kind in ("view", "materialized_view"):
                 out.append((s, parse_view(s, d), []))
-            elif s.kind in ("procedure", "function", "trigger"):
+            elif s.kind == "trigger":
+                out.append((s, parse_trigger(s, d), []))
+            elif s.kind in ("procedure", "function"):
                 out.append((s, parse_routine(s, d), []))
             else:
                 out.append((s, None, []))

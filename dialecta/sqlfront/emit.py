@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from dialecta.sqlfront.ddl import Column, Constraint, RoutineSpec, TableSpec, ViewSpec
+from dialecta.sqlfront.ddl import Column, Constraint, RoutineSpec, TableSpec, TriggerSpec, ViewSpec
 from dialecta.sqlfront.dialects import DIALECTS, SPARKISH, TSQL, Dialect, dialect, quoted
 from dialecta.sqlfront.front import Finding
 from dialecta.sqlfront.lexer import Group, WORD, plain, split_at, tokens, tree
@@ -380,9 +380,6 @@ def emit_routine(spec: RoutineSpec, source: str, target: str) -> tuple[str, list
     """The frame of a routine for a target; bodies are carried over for review."""
     t, notes = dialect(target), _Notes()
     name = quoted(spec.name, t)
-    if spec.kind == "trigger" and not (t.name in ("oracle", "sqlserver")):
-        notes.add("TRIGGER_UNSUPPORTED", f"{target} has no triggers", "error")
-        return f"-- trigger {'.'.join(spec.name)} is not supported", list(notes)
     notes.add(f"{spec.kind.upper()}_BODY_MANUAL", "the body was carried over; review it")
     params = f"({spec.parameters})"
     returns = f" RETURNS {spec.returns}" if spec.returns else ""
@@ -397,3 +394,25 @@ def emit_routine(spec: RoutineSpec, source: str, target: str) -> tuple[str, list
     if t.name in SPARKISH:
         return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}{returns}\n{'LANGUAGE SQL AS ' if spec.kind == 'procedure' else ''}{spec.body};", list(notes)
     return f"CREATE {spec.kind.upper()} {name}{(' ' + spec.parameters) if spec.kind == 'procedure' else params}{returns} AS\n{spec.body};", list(notes)
+
+
+def emit_trigger(spec: TriggerSpec, source: str, target: str) -> tuple[str, list[Finding]]:
+    """A trigger for the two targets that have them; elsewhere a comment and an error."""
+    t, notes = dialect(target), _Notes()
+    if t.name not in ("oracle", "sqlserver"):
+        notes.add("TRIGGER_UNSUPPORTED", f"{target} has no triggers; react to changes where the data is loaded", "error")
+        return f"-- trigger {'.'.join(spec.name)} on {'.'.join(spec.table)} is not supported", list(notes)
+    notes.add("TRIGGER_BODY_MANUAL", "the body was carried over; review it")
+    name, table = quoted(spec.name, t), quoted(spec.table, t)
+    if t.name == "sqlserver":
+        timing = spec.timing
+        if timing == "BEFORE":
+            timing = "INSTEAD OF"
+            notes.add("TRIGGER_TIMING", "BEFORE became INSTEAD OF")
+        if spec.each_row:
+            notes.add("TRIGGER_ROW_LEVEL", "triggers run once per statement; use the tables inserted and deleted")
+        events = ", ".join(dict.fromkeys(e.split(" ")[0] for e in spec.events))
+        return f"CREATE TRIGGER {name} ON {table}\n{timing} {events}\nAS\n{spec.body};", list(notes)
+    row = "\nFOR EACH ROW" if spec.each_row else ""
+    when = f"\nWHEN ({spec.condition})" if spec.condition else ""
+    return f"CREATE OR REPLACE TRIGGER {name}\n{spec.timing} {' OR '.join(spec.events)} ON {table}{row}{when}\n{spec.body}\n/", list(notes)

@@ -189,3 +189,14 @@ create materialized view mv as select sum(a) as s from fsrc; create function man
     assert [r.a for r in spark.sql("select * from many(2)").collect()] == [4]
     got = {x["feature"] for x in limits.limitations_for("fabric_dw", "redshift", "create table t (a int identity(1,1)) distkey(a)")}
     assert got == {"DISTRIBUTION", "IDENTITY"} and limits.limitations(spark).count() > 50 and len(limits.dialects()) == 9
+
+
+def test_triggers():
+    sql = "CREATE OR REPLACE TRIGGER trg BEFORE INSERT OR UPDATE OF a ON s.t FOR EACH ROW WHEN (new.a > 1) BEGIN :new.b := 1; END;"
+    spec = ddl.parse_script(sql, "oracle")[0][1]
+    assert (spec.name, spec.timing, spec.events, spec.table, spec.each_row, spec.condition) == (["trg"], "BEFORE", ["INSERT", "UPDATE OF a"], ["s", "t"], True, "new.a > 1")
+    r = convert.convert(sql, "oracle", "sqlserver")
+    assert "INSTEAD OF INSERT, UPDATE" in r.sql and "[s].[t]" in r.sql and {"TRIGGER_TIMING", "TRIGGER_ROW_LEVEL"} <= {f.code for f in r.findings}
+    assert "FOR EACH ROW" in convert.convert(sql, "oracle", "oracle").sql
+    none = convert.convert(sql, "oracle", "snowflake")
+    assert none.level == "MANUAL_REVIEW" and none.references
