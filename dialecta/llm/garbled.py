@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialecta.llm.codepages import swaps, undo, undone
-from dialecta.tables import written
+from dialecta.tables import spread, written
 
 BITS = 20
 MIN_GAIN = 1.0  # of a word, while the model is fitted
@@ -313,7 +313,7 @@ def fit(docs: DataFrame, rounds: int = 2) -> Model:
 
     outside = docs.where(F.col("txt").rlike(r"[^\x00-\x7f]"))
     words = written(outside.mapInArrow(_word_pass, _WORDS).groupBy("lang", "source", "word").agg(F.sum("n").alias("n")), "words")
-    words = words.repartition(2 * spark.sparkContext.defaultParallelism)  # few bytes, much work a row
+    words = spread(words)
     for _ in range(rounds):
         got = words.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model)), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
         kind, a, b, n = (got.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
