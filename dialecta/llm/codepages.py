@@ -76,7 +76,7 @@ def _by_reading() -> tuple[tuple[str, frozenset[str], tuple[tuple[int, str], ...
     return tuple((r, frozenset(c for c in reading(r) if ord(c) > 127) if r in SINGLE else frozenset(), tuple(pairs)) for r, pairs in out.items())
 
 
-def undone(text: str, only_utf8: bool) -> list[tuple[int, str]]:
+def undone(text: str) -> list[tuple[int, str]]:
     """(swap number, text as written) of every swap that the text can be traced back by and that changes it."""
     outside = {c for c in text if ord(c) > 127}
     out = []
@@ -92,11 +92,10 @@ def undone(text: str, only_utf8: bool) -> list[tuple[int, str]]:
             except UnicodeError:
                 continue
         for k, w in pairs:
-            if w == "utf-8" or not only_utf8:
-                try:
-                    z = text.translate(letters(w, r)) if known and w in SINGLE else raw.decode(w)
-                except UnicodeError:
-                    continue
-                if z != text:
-                    out.append((k, z))
+            try:
+                z = text.translate(letters(w, r)) if known and w in SINGLE else raw.decode(w)
+            except UnicodeError:
+                continue
+            if z != text:
+                out.append((k, z))
     return out

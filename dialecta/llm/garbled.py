@@ -9,7 +9,10 @@ The model is fitted by expectation-maximisation:
 * E-step, over distinct words with their counts: a word is read back under each
   swap; the posterior weighs the bigram likelihood of the result and the share
   of the swap in the word's source. Letters that no known swap explains get
-  their expected readings from the neighbouring letters;
+  their expected readings from the neighbouring letters. The first round takes
+  every word that some swap makes likelier at all: where a swap is common its
+  letters are as usual as the right ones, and only the right bigrams' majority
+  tells them apart. The later rounds ask for evidence;
 * M-step: swap shares per source, the byte-to-letter table per source and the
   bigram counts without the garbled words are estimated anew.
 
@@ -43,8 +46,8 @@ MIN_GAIN = 1.0  # of a word, while the model is fitted
 SURE_GAIN = 6.0  # of a word, for a document to be reported
 CACHE = 100_000  # words whose readings a task keeps
 #: Bytes of another table hardly ever happen to be UTF-8, so reading a word back as UTF-8 is evidence by itself;
-#: other swaps are tried only on words with a step this unlikely, and their gain is lowered by WEAK.
-UNLIKELY = -5.5
+#: the gain of other swaps is lowered by WEAK.
+UNLIKELY = -5.5  # a step that letters are learned from
 WEAK = 4.0
 SOURCE_CLASSES = 256  # sources share swap shares by hash class, so the broadcast is bounded
 LEARNED = len(swaps())  # index of the reading with the learned letters
@@ -110,19 +113,26 @@ class Model:
         x = _points(text)
         return np.log(0.9 * self._chances(lang, x) + 0.1 * self._chances(ALL, x))
 
+    def seen(self, lang: int, text: str) -> bool:
+        x = _points(text)
+        return bool(self.counts[_slots(lang, x[:-1], x[1:])].min() > 0)
+
     def language_of(self, label: str | None, text: str) -> int:
         code = language(label)
         if code in self.languages or not self.languages:
             return code
         return max(self.languages, key=lambda c: (float(self.steps(c, text).sum()), c))
 
-    def readings(self, lang: int, word: str, unlikely: bool) -> list[tuple[int, float, str]]:
-        """(swap, gain in nats, text read back) for all swaps by which the word gains; kept for repeated words."""
-        kept = self.cache.get((lang, word, unlikely))
+    def readings(self, lang: int, word: str, seed: bool = False) -> list[tuple[int, float, str]]:
+        """(swap, gain in nats, text read back) for all swaps by which the word gains; kept for repeated words.
+
+        A seed asks for no evidence beyond a likelier word all of whose steps the language has.
+        """
+        kept = self.cache.get((lang, word))
         if kept is not None:
             return kept
         chains: list[tuple[int, list[str]]] = []
-        for k, z in undone(word, only_utf8=not unlikely):
+        for k, z in undone(word):
             chain, (w, r) = [], swaps()[k]
             while z is not None and z != word and len(chain) < 3:  # a text may have been misread more than once
                 chain.append(z)
@@ -130,7 +140,7 @@ class Model:
             chains.append((k, chain))
         if not chains:
             if len(self.cache) < CACHE:
-                self.cache[lang, word, unlikely] = []
+                self.cache[lang, word] = []
             return []
         texts = list(dict.fromkeys([word, *(z for _, chain in chains for z in chain)]))
         ends = np.cumsum([len(z) + 1 for z in texts])
@@ -139,11 +149,13 @@ class Model:
         out = []
         for k, chain in chains:
             best = max(chain, key=lambda z: gains[z])
-            gain = float(gains[best] - gains[word]) - (0.0 if swaps()[k][0] == "utf-8" else WEAK)
-            if gain > MIN_GAIN:
+            if seed and not self.seen(lang, best):
+                continue
+            gain = float(gains[best] - gains[word]) - (0.0 if seed or swaps()[k][0] == "utf-8" else WEAK)
+            if gain > (0.0 if seed else MIN_GAIN):
                 out.append((k, gain, best))
         if len(self.cache) < CACHE:
-            self.cache[lang, word, unlikely] = out
+            self.cache[lang, word] = out
         return out
 
 
@@ -153,14 +165,12 @@ def _judge(model: Model, text: str, lang: int, source: int):
     n: Counter[str] = Counter()
     total: defaultdict[int, float] = defaultdict(float)
     shares, letters = model.shares[source], model.letters.get(source, {})
-    steps = model.steps(lang, text)
     for m in _WORD.finditer(text):
         w = m.group(0)
         n[w] += 1
         if w not in found and REPLACEMENT not in w:
-            unlikely = bool(steps[m.start() : m.end() + 1].min() < UNLIKELY)
-            found[w] = {k: (gain + float(shares[k]), z) for k, gain, z in model.readings(lang, w, unlikely)}
-            if not found[w] and unlikely and letters and (z := w.translate(letters)) != w:
+            found[w] = {k: (gain + float(shares[k]), z) for k, gain, z in model.readings(lang, w)}
+            if not found[w] and letters and (z := w.translate(letters)) != w:
                 gain = float(model.steps(lang, z).sum() - model.steps(lang, w).sum())
                 if gain > SURE_GAIN:
                     found[w] = {LEARNED: (gain, z)}
@@ -173,8 +183,9 @@ def _judge(model: Model, text: str, lang: int, source: int):
 def _readback(found: dict, best: int | None, least: float = MIN_GAIN) -> dict[str, str]:
     """word -> restored word; the document's main swap is preferred where it gains at all."""
     out = {}
+    sure = any(r.get(best, (0.0,))[0] > least for r in found.values())
     for w, r in found.items():
-        if r and max(g for g, _ in r.values()) > least:
+        if r and (max(g for g, _ in r.values()) > least or sure and best in r):
             k = best if best in r else max(r, key=lambda k: (r[k][0], -k))
             out[w] = r[k][1]
     return out
@@ -237,7 +248,7 @@ def _word_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _estimate_pass(shared):
+def _estimate_pass(shared, seed: bool):
     """Expected changes of the model from distinct words: kind 0 bigram counters, 2 swaps by source class, 3 letters by source class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +256,8 @@ def _estimate_pass(shared):
         change, used, letters = np.zeros(1 << BITS, np.int64), Counter(), Counter()
         for b in batches:
             for lang, sc, w, n in _rows(b):
-                unlikely = bool(model.steps(lang, w).min() < UNLIKELY)
-                r = {k: (gain + float(model.shares[sc][k]), z) for k, gain, z in model.readings(lang, w, unlikely)}
-                if r and max(r.values())[0] > MIN_GAIN:
+                r = {k: (gain + float(model.shares[sc][k]), z) for k, gain, z in model.readings(lang, w, seed)}
+                if r and max(r.values())[0] > (0.0 if seed else MIN_GAIN):
                     k = max(r, key=lambda k: (r[k][0], -k))
                     z = r[k][1]
                     used[sc, k] += n
@@ -255,7 +265,7 @@ def _estimate_pass(shared):
                     _add(change, lang, z, n)
                     if len(w) == len(z):
                         letters.update({(sc, (ord(o) << 21) | ord(c)): n for o, c in zip(w, z) if o != c})
-                elif unlikely:
+                elif not seed and model.steps(lang, w).min() < UNLIKELY:
                     _expected_letters(model, lang, sc, w, n, letters)
         at = np.flatnonzero(change)
         yield _counted(np.zeros(len(at), np.int64), at, np.zeros(len(at), np.int64), change[at])
@@ -309,15 +319,15 @@ def fit(docs: DataFrame, rounds: int = 2) -> Model:
         order = np.argsort(-n[mine], kind="stable")[:256]
         native[code] = b[mine][order].astype(np.uint32)
     shares = np.zeros((SOURCE_CLASSES, len(swaps()) + 1), np.float32)
-    model = Model(counts, shares, {}, languages, native)
+    model, first_counts = Model(counts, shares, {}, languages, native), counts
 
     outside = docs.where(F.col("txt").rlike(r"[^\x00-\x7f]"))
     words = written(outside.mapInArrow(_word_pass, _WORDS).groupBy("lang", "source", "word").agg(F.sum("n").alias("n")), "words")
     words = spread(words)
-    for _ in range(rounds):
-        got = words.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model)), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
+    for k in range(1 + rounds):
+        got = words.mapInArrow(_estimate_pass(spark.sparkContext.broadcast(model), k == 0), _COUNTED).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).where("kind < 3 or n >= 2").toArrow()
         kind, a, b, n = (got.column(c).to_numpy() for c in ("kind", "a", "b", "n"))
-        counts = model.counts.copy()
+        counts = first_counts.copy()
         counts[a[kind == 0]] += n[kind == 0].astype(np.int64)
         used = np.ones((SOURCE_CLASSES, len(swaps()) + 1))
         used[a[kind == 2], b[kind == 2]] += n[kind == 2]

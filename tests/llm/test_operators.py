@@ -199,3 +199,17 @@ def test_garbled(spark):
     assert len(found) >= 0.9 * len(planted) and 10**6 + 2 in got and not {10**6, 10**6 + 1, 10**6 + 3} & set(got)
     assert sum(got[i].restored == planted[i] for i in found) >= 0.8 * len(found)
     assert garbled.garbled(spark.createDataFrame(rows[:0], "id long, body string, lang string, src string, swap string"), "id", "body", "lang", "src").count() == 0
+
+
+@pytest.mark.parametrize("share", [0.1, 0.34])
+def test_garbled_where_a_swap_is_common(spark, share):
+    r, rows, planted = random.Random(1), [], {}
+    docs = read_table(spark, DATA.replace("0.001", "0.1"), "documents").where("lower(trim(lang)) like 'ru%'")
+    for d in docs.select("doc_id", "text", "lang", "source").orderBy("doc_id").collect():
+        text = d.text
+        if r.random() < share and re.fullmatch(r"[\x00-\x7fЀ-ӿ]*[а-я]{5}[\x00-\x7fЀ-ӿ]*", text):
+            text, planted[d.doc_id] = text.encode("cp1251").decode("latin-1"), text
+        rows.append((d.doc_id, text, d.lang, d.source))
+    got = {x.rid: x for x in garbled.garbled(spark.createDataFrame(rows, "id long, body string, lang string, src string"), "id", "body", "lang", "src").collect()}
+    assert planted and len(set(planted) & set(got)) >= 0.97 * len(planted)
+    assert sum(got[i].restored == planted[i] for i in planted if i in got) >= 0.9 * len(planted)
