@@ -60,8 +60,9 @@ def ddl_constraints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def convert_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Every stored script to its own target dialect and two others, on the executors."""
-    return convert.convert_all(read_table(spark, d, "transpile_requests"), "request_id", "sql", "source_dialect", ["snowflake", "databricks", "sqlserver"])
+    """Every stored script to all dialects, to its own target with the schema and text length it asks for, on the executors."""
+    columns = dict(target_col="target_dialect", schema_col="target_schema", length_col="default_text_length")
+    return convert.convert_all(read_table(spark, d, "transpile_requests"), "request_id", "sql", "source_dialect", **columns)
 
 
 query()(convert_requests)

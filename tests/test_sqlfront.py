@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Row
 
+from dialecta import registry
 from dialecta.functions import fnv1a
 from dialecta.sqlfront import catalog, convert, ddl, dml, front
 from dialecta.sqlfront.dialects import DIALECTS, dialect
@@ -200,3 +201,13 @@ def test_triggers():
     assert "FOR EACH ROW" in convert.convert(sql, "oracle", "oracle").sql
     none = convert.convert(sql, "oracle", "snowflake")
     assert none.level == "MANUAL_REVIEW" and none.references
+
+
+def test_requests_convert_to_their_own_target(spark, tmp_path):
+    rows = [(1, "create table a.t (x TEXT)", "snowflake", " SqlServer ", "dw", 99), (2, "select 1", "oracle", "bigquery", None, None), (3, "select 1", "oracle", None, None, None), (4, "select 1", "oracle", "db2", None, None)]
+    df = spark.createDataFrame(rows, "request_id long, sql string, source_dialect string, target_dialect string, target_schema string, default_text_length int")
+    df.write.parquet(f"{tmp_path}/transpile_requests.parquet")
+    got = {(r.rid, r.target): r for r in registry.queries()["convert_requests"](spark, str(tmp_path)).collect()}
+    assert len(got) == 9 * 4 + 1 and {k for k, r in got.items() if r.requested} == {(1, "sqlserver"), (2, "bigquery"), (4, "db2")}
+    assert "[dw].[t]" in got[1, "sqlserver"].sql and "VARCHAR(99)" in got[1, "sqlserver"].sql and "[dw]" not in got[1, "fabric_dw"].sql
+    assert got[4, "db2"].error
