@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from dialecta.llm import sqlgrammar as g
 from dialecta.llm.textforms import canonical_glyphs
@@ -58,14 +58,13 @@ def _first_pass(size: int):
 def _entries(pdf: pd.DataFrame) -> pd.DataFrame:
     """Entry state and first statement number of each chunk of one text (its maps only, never its chunks)."""
     pdf = pdf.sort_values("chunk_no")
-    done = {"exits": g.STATES, "ends": [0] * 7, "net": [0] * 7, "low": [0] * 7}
+    done = g.IDENTITY
     entry, first = [], []
     for m in pdf[["exits", "ends", "net", "low"]].to_dict("records"):
         entry.append(done["exits"][0])
         first.append(int(done["ends"][0]))
         done = g.compose(done, m)
-    whole = done["exits"][0] in "CL" and done["net"][0] == 0 and done["low"][0] == 0
-    return pd.DataFrame({"rid": pdf["rid"], "chunk_no": pdf["chunk_no"], "entry": entry, "first": first, "balanced": whole})
+    return pd.DataFrame({"rid": pdf["rid"], "chunk_no": pdf["chunk_no"], "entry": entry, "first": first, "balanced": g.closed(done)})
 
 
 def _statement_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,15 +79,9 @@ def _statement_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(out, columns=["rid", "family", "balanced", "stmt_no", "chunk_no", "piece"])
 
 
-@F.pandas_udf(BooleanType())
-def _statement_ok(text: pd.Series, family: pd.Series) -> pd.Series:
-    return pd.Series([all(map(g.shape_ok, g.shapes(t, f))) for t, f in zip(text, family)], dtype=bool)
-
-
-@F.pandas_udf(BooleanType())
-def _is_routine(text: pd.Series, family: pd.Series) -> pd.Series:
-    found = (g.shapes(t, f)[:1] for t, f in zip(text, family))
-    return pd.Series([bool(s) and s[0][0] == g._CODE["create"] and any(c in s[0][:5] for c in g._ROUTINE) for s in found], dtype=bool)
+@F.pandas_udf(StructType([StructField(n, BooleanType()) for n in ("ok", "some", "routine", "clean")]))
+def _statement(text: pd.Series, family: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([g.statement(t, f) for t, f in zip(text, family)], columns=["ok", "some", "routine", "clean"])
 
 
 def parse_verdicts(df: DataFrame, id_col: str, text_col: str, dialect_col: str, chunk: int = CHUNK) -> DataFrame:
@@ -107,8 +100,9 @@ def parse_verdicts(df: DataFrame, id_col: str, text_col: str, dialect_col: str,
         F.first("family").alias("family"), F.first("balanced").alias("balanced"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "piece"))), lambda x: x["piece"]), "").alias("txt"),
     )
-    judged = statements.select("rid", "balanced", _statement_ok("txt", "family").alias("ok"), (_is_routine("txt", "family") & (F.col("stmt_no") == 0)).alias("routine"))
-    long = judged.groupBy("rid").agg((F.every("balanced") & (F.every("ok") | F.bool_or("routine"))).alias("ok"))
+    judged = statements.select("rid", "stmt_no", "balanced", _statement("txt", "family").alias("s")).select("rid", "stmt_no", "balanced", "s.*")
+    routine = F.coalesce(F.min_by("routine", F.when(F.col("some"), F.col("stmt_no"))), F.lit(False))
+    long = judged.groupBy("rid").agg((F.every("balanced") & F.when(routine, F.every("clean")).otherwise(F.every("ok"))).alias("ok"))
     return short.unionByName(long)
 
 

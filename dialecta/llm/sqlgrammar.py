@@ -259,6 +259,13 @@ def shapes(sql: str, family: str) -> list[str]:
     return [s for s in whole.split(";") if s]
 
 
+def statement(sql: str, family: str) -> tuple[bool, bool, bool, bool]:
+    """Of one statement: can be parsed, is not empty, creates a routine, holds nothing foreign."""
+    parts = shapes(sql, family)
+    routine = bool(parts) and parts[0][0] == _CODE["create"] and any(c in parts[0][:5] for c in _ROUTINE)
+    return all(map(shape_ok, parts)), bool(parts), routine, not any("\x00" in p for p in parts)
+
+
 def is_well_formed(sql: str, dialect: str | None) -> bool:
     """Whether every statement of the script can be parsed in the dialect; a script without statements can."""
     parts = shapes(sql, family_of(dialect))
@@ -269,18 +276,19 @@ def is_well_formed(sql: str, dialect: str | None) -> bool:
 
 # --- long texts: chunks as maps of lexer states -----------------------------
 
-#: code, literal, "quoted", `quoted`, [quoted], line comment, block comment
-STATES = "CSDTBLK"
-_END = {"S": "'", "D": '"', "T": "`", "B": "]", "L": "\n", "K": "*/"}
-_OPEN = {"'": "S", '"': "D", "`": "T", "[": "B", "-": "L", "/": "K"}
-_UNSAFE_END = "-/*\\'\"`[]"
+#: code, literal, "quoted", `quoted`, [quoted], line comment, block comment, $$ body
+STATES = "CSDTBLKE"
+IDENTITY = {"exits": STATES, "ends": [0] * len(STATES), "net": [0] * len(STATES), "low": [0] * len(STATES)}
+_END = {"S": "'", "D": '"', "T": "`", "B": "]", "L": "\n", "K": "*/", "E": "$$"}
+_OPEN = {"'": "S", '"': "D", "`": "T", "[": "B", "-": "L", "/": "K", "$": "E"}
+_UNSAFE_END = "-/*\\'\"`[]$"
 
 
 def _scanner(family: str) -> re.Pattern:
     body = r"'(?:[^'\\]|\\.)*(?P<s>')?" if family == "tick" else r"'[^']*(?P<s>')?"
     dq = r'"(?:[^"\\]|\\.)*(?P<d>")?' if family == "tick" else r'"[^"]*(?P<d>")?'
     br = r"|\[[^\]]*(?P<b>\])?" if family in ("bracket", "any") else ""
-    return re.compile(rf"{body}|{dq}|`[^`]*(?P<t>`)?{br}|--[^\n]*(?P<l>\n)?|/\*(?:[^*]|\*(?!/))*(?P<k>\*/)?|[();]", re.S)
+    return re.compile(rf"{body}|{dq}|`[^`]*(?P<t>`)?{br}|--[^\n]*(?P<l>\n)?|/\*(?:[^*]|\*(?!/))*(?P<k>\*/)?|(?<![\w$#])\$\$(?:[^$]|\$(?!\$))*(?P<e>\$\$)?|[();]", re.S)
 
 
 _SCANNERS = {f: _scanner(f) for f in _QUOTES}
@@ -291,7 +299,7 @@ def chunks(text: str, size: int) -> list[str]:
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + size)
-        while end < len(text) and text[end - 1] in _UNSAFE_END:
+        while end < len(text) and (text[end - 1] in _UNSAFE_END or text[end] == "$"):
             end += 1
         out.append(text[at:end])
         at = end
@@ -339,3 +347,8 @@ def compose(a: dict, b: dict) -> dict:
         "net": [n + b["net"][k] for n, k in zip(a["net"], j)],
         "low": [min(lo, n + b["low"][k]) for lo, n, k in zip(a["low"], a["net"], j)],
     }
+
+
+def closed(whole: dict) -> bool:
+    """Whether a text of this map, entered as code, ends outside literals with its brackets balanced."""
+    return whole["exits"][0] in "CL" and whole["net"][0] == 0 and whole["low"][0] == 0
