@@ -1,10 +1,10 @@
 """Problem 4: source files that do not parse.
 
-A text of one chunk is lexed and parsed in the batch that reads it. A longer
-text is cut into chunks; each chunk becomes a map of lexer states with a
+A text is cut into chunks; each chunk becomes a map of lexer states with a
 bracket summary, the maps of a text are reduced in order (composition is
 associative), and the entry states that result cut the chunks into statements,
-which are parsed one by one with local grammars (``sqlgrammar``).
+which are parsed one by one with local grammars (``sqlgrammar``). A text of one
+chunk goes this way in the batch that reads it.
 
 Defined results: a null text is no case and counts in no rate; an empty or
 comment-only text is valid; an unknown or null dialect allows every kind of

@@ -267,14 +267,21 @@ def statement(sql: str, family: str) -> tuple[bool, bool, bool, bool]:
 
 
 def is_well_formed(sql: str, dialect: str | None) -> bool:
-    """Whether every statement of the script can be parsed in the dialect; a script without statements can."""
-    parts = shapes(sql, family_of(dialect))
-    if len(parts) > 1 and parts[0][0] == _CODE["create"] and any(c in parts[0][:5] for c in _ROUTINE):
-        parts = [";".join(parts)]
-    return all(map(shape_ok, parts))
+    """Whether every statement of the script can be parsed in the dialect; a script without statements can.
+
+    What follows a routine's head is its body, in which only foreign content is looked for.
+    """
+    family, text = family_of(dialect), canonical_glyphs(sql)
+    whole = compose(IDENTITY, state_map(text, family))
+    if not closed(whole):
+        return False
+    ends = cuts(text, family, "C")[1]
+    judged = [statement(text[a:b], family) for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(text)])]
+    routine = next((r for _, some, r, _ in judged if some), False)
+    return all(j[3 if routine else 0] for j in judged)
 
 
-# --- long texts: chunks as maps of lexer states -----------------------------
+# --- chunks as maps of lexer states -----------------------------
 
 #: code, literal, "quoted", `quoted`, [quoted], line comment, block comment, $$ body
 STATES = "CSDTBLKE"

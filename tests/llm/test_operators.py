@@ -219,7 +219,7 @@ def test_parse_check_is_the_same_for_every_chunk_size(spark):
     body = "create procedure p() as begin " + "select 1; " * 30
     dollar = "create function f() returns int as $$ it's ( ; select 1; " + "x " * 60 + "$$ language sql; select "
     rows = [(1, body + "\n=======\n select 2; end", "sqlserver"), (2, body + "select `a` from t; end", "oracle"), (3, body + "end", "sqlserver"), (4, dollar + "3", "snowflake"), (5, dollar.replace("$$ language", "language") + "3", "snowflake")]
-    rows += [(6, ";\n" + body + "end", "oracle"), (7, "create table t (a int); " * 9 + "select a from", "redshift"), (9, "select '" + "x$$" * 50 + "' as a$$b", "snowflake")]
+    rows += [(6, ";\n" + body + "end", "oracle"), (7, "create table t (a int); " * 9 + "select a from", "redshift"), (8, "alter table t add (a int", "redshift"), (9, "select '" + "x$$" * 50 + "' as a$$b", "snowflake")]
     df = spark.createDataFrame(rows, "id long, body string, dia string")
     for chunk in (65_536, 50, 7):
-        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk).where("not ok").collect()} == {1, 2, 5, 7}, chunk
+        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk).where("not ok").collect()} == {1, 2, 5, 7, 8}, chunk
