@@ -273,7 +273,8 @@ def near_duplicate_groups(features: DataFrame, t: float) -> DataFrame:
     """(record_id, class_id, n_links): one row per record with a similar one.
 
     class_id is the smallest id of the connected class; n_links counts the
-    similar other feature sets, copies of one set share it.
+    similar other feature sets and the records of the same set that are neither
+    copies nor look-alikes (by sums over the set's keys, no pair is emitted).
     """
     sets, members = _sets_and_members(features)
     edges = written(similar_sets(sets, t).select("ra", "rb"), "edges")
@@ -281,10 +282,12 @@ def near_duplicate_groups(features: DataFrame, t: float) -> DataFrame:
     both = edges.select("ra").unionByName(edges.select(F.col("rb").alias("ra")))
     degree = both.groupBy(F.col("ra").alias("rep")).agg(F.count("*").alias("n_links"))
     classed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    alone = classed.groupBy("rep").agg(F.count("*").alias("n_same"))
+    cells = members.groupBy("rep", "ckey", "gkey").agg(F.count("*").alias("n_both"))
+    alone, by_c, by_g = (cells.groupBy("rep", *k).agg(F.sum("n_both").alias(n)) for k, n in (((), "n_same"), (("ckey",), "n_c"), (("gkey",), "n_g")))
+    cells = cells.join(alone, "rep").join(by_c, ["rep", "ckey"]).join(by_g, ["rep", "gkey"]).select("rep", "ckey", "gkey", "n_same", F.expr("n_same - n_c - n_g + n_both").alias("n_varied"))
     return (
-        classed.join(alone, "rep").where("class_id is not null or n_same > 1")
-        .select(F.col("rid").alias("record_id"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        classed.join(cells, ["rep", "ckey", "gkey"]).where("class_id is not null or n_same > 1")
+        .select(F.col("rid").alias("record_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + F.col("n_varied")).alias("n_links"))
     )
 
 

@@ -223,3 +223,11 @@ def test_parse_check_is_the_same_for_every_chunk_size(spark):
     df = spark.createDataFrame(rows, "id long, body string, dia string")
     for chunk in (65_536, 50, 7):
         assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk).where("not ok").collect()} == {1, 2, 5, 7, 8}, chunk
+
+
+def test_links_within_one_set_count(spark):
+    rows = [(1, "select a, b from t where x"), (2, "select t where x from a, b"), (3, "SELECT a, b FROM t WHERE x"), (4, "other words only here")]
+    feats = near_dup.text_features(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    pairs = [tuple(x) for x in near_dup.near_duplicate_pairs(feats, 0.7).collect()]
+    want = {i: sum(i in p for p in pairs) for i in (1, 2, 3)}
+    assert {x.record_id: x.n_links for x in near_dup.near_duplicate_groups(feats, 0.7).collect()} == want == {1: 1, 2: 2, 3: 1}
