@@ -49,12 +49,14 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
         b = capacity - a
         if b > 0 and left[a] and left[b]:
             use((a, b), int(min(left[a], left[b]) if a != b else left[a] // 2))
-    for a in range(capacity - 2, 0, -1):  # triples: the complement of each remaining pair sum
-        if not left[a]:
+    have = np.flatnonzero(left[:-1])
+    for a in have[::-1].tolist():  # triples: the complement of each remaining pair sum
+        if not left[a] or not 0 < a <= capacity - 2:
             continue
         rest = capacity - a
-        b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
-        for x in b[(left[b] > 0) & (left[rest - b] > 0)].tolist():
+        have = have[left[have] > 0]
+        b = have[(have <= min(a, rest - 1)) & (have >= (rest + 1) // 2)][::-1]
+        for x in b[left[rest - b] > 0].tolist():
             y = rest - x
             need = {z: (a, x, y).count(z) for z in (a, x, y)}
             use((a, x, y), min(int(left[z]) // k for z, k in need.items()))
@@ -73,9 +75,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], i
             continue
         n = int(left[a])
         while n:
-            fits = np.flatnonzero(room[a:])
-            if len(fits):
-                free = a + int(fits[0])
+            free = a + int(np.argmax(room[a:]))
+            if room[free]:
                 combo, have = open_[free].pop()
                 if not open_[free]:
                     room[free] = False
@@ -110,14 +111,21 @@ def _places(containers: list[tuple[tuple[int, ...], int]], first_id: int):
     return np.array(rows, np.int64).reshape(-1, 4)
 
 
+RANK_BITS = 40  # a rank among the items of one length
+
+
+def _key(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Length and rank as one integer; exact for lengths below 2**23."""
+    return (length << RANK_BITS) | rank
+
+
 def _assign(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = shared.value
-        key = table[:, 0].astype(np.float64) * 2.0**40 + table[:, 1]
+        key = _key(table[:, 0], table[:, 1])
         for b in batches:
             length, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
-            i = np.searchsorted(key, length.astype(np.float64) * 2.0**40 + rank, side="right") - 1
-            i = np.clip(i, 0, max(0, len(key) - 1))
+            i = np.clip(np.searchsorted(key, _key(length, rank), side="right") - 1, 0, max(0, len(key) - 1))
             container = table[i, 3] + (rank - table[i, 1]) // table[i, 2] if len(table) else np.zeros(len(b), np.int64)
             yield pd.DataFrame({"rid": b["rid"], "piece_no": b["piece_no"], "length": length, "container_id": np.where(length == 0, 0, container)})
 
@@ -126,6 +134,8 @@ def _assign(shared):
 
 def packed(df: DataFrame, id_col: str, text_col: str, capacity: int, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """(rid, piece_no, length, container_id): where every item, or piece of an item too long, goes."""
+    if not 0 < capacity < 1 << (63 - RANK_BITS):
+        raise ValueError(f"the capacity must be between 1 and {(1 << (63 - RANK_BITS)) - 1}")
     spark = df.sparkSession
     sizes = written(token_counts(df, id_col, text_col, tokenizer=tokenizer), "sizes")
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity)).cast("int")

@@ -160,6 +160,33 @@ def test_packing(spark, docs):
     assert token_counts(docs, "id", "body").count() == docs.count()
 
 
+@pytest.mark.parametrize("capacity", [4096, 8193, 131_072])
+def test_large_containers_are_never_over_full(spark, capacity):
+    r = random.Random(capacity)
+    rows = [(i, "a " * r.choice([r.randint(1, 40), r.randint(1, capacity // 3), capacity + r.randint(1, 99)]) if i % 60 else "a " * capacity) for i in range(240)]
+    packs = packing.packed(spark.createDataFrame(rows, "id long, body string"), "id", "body", capacity).collect()
+    room = {}
+    for x in packs:
+        room[x.container_id] = room.get(x.container_id, 0) + x.length
+    assert max(room.values()) <= capacity and sum(room.values()) / (capacity * len(room)) > 0.9
+
+
+def test_places_hold_at_any_length_and_rank():
+    r = random.Random(2)
+    capacity = 131_072
+    counts = {x: r.randint(1, 50_000) for x in r.sample(range(1, capacity + 1), 700)}
+    table = packing._places(packing.plan(counts, capacity), 1)
+    items = [(x, n - 1) for x, n in counts.items()] + [(x, 0) for x in counts] + [(x, n // 2) for x, n in counts.items()]
+    shared = type("S", (), {"value": table})
+    import pandas as pd
+
+    got = next(packing._assign(shared)(iter([pd.DataFrame({"rid": range(len(items)), "piece_no": 0, "length": [x for x, _ in items], "rank": [k for _, k in items]})])))
+    where = dict(zip(items, got["container_id"]))
+    for x, rank in items:
+        row = max((t for t in table.tolist() if t[0] == x and t[1] <= rank), key=lambda t: t[1])
+        assert where[x, rank] == row[3] + (rank - row[1]) // row[2]
+
+
 def test_mixing(spark, docs):
     targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 3), ("c", 0.05, 1), ("none", 0.05, 4)], "source string, target_share double, max_repeats int")
     sizes = mixing.sized(docs, "id", "body", "lang", "src", targets)
