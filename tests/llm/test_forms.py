@@ -69,6 +69,36 @@ BAD = [
 ]
 
 
+GOOD += [
+    ("sqlserver","SELECT a FROM t WITH (NOLOCK) WHERE b = 1"),("sqlserver","select a from t x with (nolock) join u with (nolock) on x.a = u.b"),
+    ("sqlserver","select * from (select a, b from t) s pivot (sum(a) for b in ([x],[y])) as p"),("snowflake","select * from t pivot(sum(a) for b in ('x','y')) p"),("sqlserver","select k, v from t unpivot (v for k in (a, b)) u"),
+    ("oracle","select a, level from t start with b is null connect by prior a = b order by level"),("oracle","select a from t connect by nocycle prior a = b"),
+    ("snowflake","select f.value from t, lateral flatten(input => t.v) f"),("snowflake","select * from t, table(flatten(input => v, path => 'a'))"),
+    ("oracle","select * from t match_recognize (partition by a order by b measures first(x.c) as d one row per match pattern (x y+) define y as y.c > 1) m"),
+    ("redshift","select a, count(*) from t group by grouping sets ((a), ())"),("snowflake","select a, b, count(*) from t group by rollup(a, b)"),("sqlserver","select a from t group by a with rollup"),
+    ("bigquery","select * except (a) from t"),("snowflake","select * exclude (a) from t"),("bigquery","select t.* replace (1 as a) from t"),
+    ("bigquery","select ARRAY[1,2], [1,2,3] from t"),("snowflake","select a from t where b = :p1"),("redshift","select a from t where b = $1"),("oracle","select a from t where b > any (select c from d)"),("oracle","select a from t where b > all (1, 2)"),
+    ("sqlserver","insert into t (a) output inserted.a values (1)"),("sqlserver","update t set a = 1 output inserted.a, deleted.a where b = 2"),("sqlserver","delete from t output deleted.* where a = 1"),
+    ("sqlserver","select a from t for xml path('x'), root('y')"),("sqlserver","select a from t for json auto"),("sqlserver","select a at time zone 'UTC' as x from t"),("snowflake","select last_value(a ignore nulls) over (partition by b order by c) from t"),("redshift","select first_value(a) ignore nulls over (order by b rows between unbounded preceding and current row) from t"),
+    ("oracle","select q'[abc]' from dual"),("sqlserver","create or alter view v as select 1 as a"),("sqlserver","create view v with schemabinding as select a from dbo.t"),("oracle","create table t (a date) partition by range (a) (partition p1 values less than (to_date('2020','yyyy')), partition p2 values less than (maxvalue))"),
+    ("redshift","with c as (select 1 as a) delete from t using c where t.a = c.a"),("sqlserver","with c as (select 1 as a) update t set a = c.a from c"),("sqlserver","SELECT a FROM t\nGO\nSELECT b FROM u\ngo\n"),("oracle","select a from t\n/\nselect b from u\n/"),("snowflake","SELECT $$a;b(c$$ FROM t"),
+    ("snowflake","create procedure p() returns int language sql as begin if (1=1) then select 1; end if; for x in (select 1) do select 2; end for; return 1; end"),("oracle","create or replace procedure p (a in number) is b number; begin select 1 into b from dual; if b > 1 then null; end if; end;"),
+    ("sqlserver","create procedure p @a int as begin try select 1; end try begin catch begin tran; select case when 1=1 then 2 end; rollback tran; end catch"),("sqlserver","create table t (a int); \nGO\ncreate proc p as select 1;\nGO\n"),
+    ("redshift","drop table if exists a.b cascade"),("redshift","grant select on t to group g"),("redshift","alter table t add column c int"),("sqlserver","exec p 1, 'x'"),("snowflake","truncate table t"),("snowflake","truncate t"),("databricks","optimize t zorder by (a)"),("redshift","alter table t rename to u"),("snowflake","use database d"),
+    ("snowflake","select a from t qualify row_number() over (partition by b order by c) = 1"),("bigquery","select array_agg(distinct a ignore nulls order by a limit 3) from t"),("databricks","create table t (a map<string, array<struct<x: int, y: string>>>) using delta"),("redshift","select a from t where b < c and d > e"),("sqlserver","create table t (a int, b as (a + 1) persisted)"),
+    ("redshift","select sum(a) over (partition by b order by c rows between 6 preceding and current row) from t"),("redshift","insert into t default values"),("oracle","select a from t order by b fetch first 5 rows only"),
+]
+BROKEN_OFF = [
+    "ALTER TABLE t ADD COLUMN","DROP TABLE","GRANT SELECT ON","EXEC","CREATE PROCEDURE p AS BEGIN SELECT a FROM","alter table","truncate","create procedure p as begin select a from t; select 1 where; end","create procedure p as begin select 1;","create function f","drop view","select a from t where b between 1 and","create table t (a int) partition by","select a from t pivot (sum(a) for b in","insert into t","with c as (select 1) delete","grant select","create or replace","select sum(a) over (order by","merge into t using s on t.a = s.a","update t set","delete from","create table t",
+]
+
+
+@pytest.mark.parametrize("sql", BROKEN_OFF)
+@pytest.mark.parametrize("dialect", ["redshift", "sqlserver", "oracle", "databricks"])
+def test_a_missing_part_is_found(dialect, sql):
+    assert not g.is_well_formed(sql, dialect)
+
+
 @pytest.mark.parametrize("dialect,sql", GOOD)
 def test_parses(dialect, sql):
     assert g.is_well_formed(sql, dialect)
@@ -79,8 +109,11 @@ def test_does_not_parse(dialect, sql):
     assert not g.is_well_formed(sql, dialect)
 
 
-@given(st.text(alphabet="a'\"`[]-/*;()\n x", max_size=120), st.sampled_from(["double", "bracket", "tick", "any"]), st.integers(3, 9))
-@settings(max_examples=300, deadline=None)
+_SCRIPTS = st.lists(st.sampled_from(["a", "'", '"', "`", "[", "]", "-", "--", "/", "*", ";", "(", ")", "\n", " ", "$$", "\nGO\n", "\n/\n", " go ", "select a from t", "\\", "\r", "begin", "end", "create procedure p as"]), max_size=60).map("".join)
+
+
+@given(_SCRIPTS, st.sampled_from(["double", "bracket", "tick", "any"]), st.integers(20, 60))
+@settings(max_examples=400, deadline=None)
 def test_state_maps_compose(text, family, size):
     parts = g.chunks(text, size)
     assert "".join(parts) == text
@@ -89,6 +122,24 @@ def test_state_maps_compose(text, family, size):
         for p in parts[1:]:
             m = g.compose(m, g.state_map(p, family))
         assert m == g.state_map(text, family)
+    whole = g.Run(text, family, True, 1 << 20)
+    run = g.Run(text, family, True, size)
+    assert run.map == whole.map and run.pieces() == whole.pieces()
+    halves = g.chunks(text, 3 * size)
+    maps, state, pieces = None, "C", [""]
+    for k, h in enumerate(halves):
+        r = g.Run(h, family, k == 0, size)
+        maps = r.map if k == 0 else g.compose(maps, r.map)
+        first, *rest = r.pieces(state)
+        pieces = [*pieces[:-1], pieces[-1] + first, *rest]
+        state = maps["exits"][0]
+    assert not halves or maps == whole.map and pieces == whole.pieces()
+
+
+@given(_SCRIPTS, st.sampled_from([None, "oracle", "sqlserver", "bigquery", "snowflake"]), st.integers(20, 60))
+@settings(max_examples=200, deadline=None)
+def test_the_verdict_does_not_depend_on_the_chunk(text, dialect, size):
+    assert g.is_well_formed(text, dialect, size) == g.is_well_formed(text, dialect, 1 << 20)
 
 
 @pytest.mark.parametrize("seed", range(6))

@@ -107,8 +107,8 @@ def test_parse_check(spark, texts, empty):
     long_ok = "insert into t values " + ", ".join(f"({i}, 'it''s; (x')" for i in range(400)) + "; select /* ; ( */ 1 as x; update t set a = 1 where b = ';'"
     rows += [(7, long_ok, "snowflake"), (8, long_ok + "; select a from", "snowflake"), (9, long_ok.replace("/* ; ( */", "/* ; ("), "snowflake"), (10, "create procedure p() as begin " + "select 1; " * 99 + " end", "sqlserver")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "id long, body string, dia string, chunk string")
-    for chunk in (65_536, 50):
-        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk).where("not ok").collect()} == {2, 6, 8, 9}
+    for chunk, run in ((1024, 1 << 20), (50, 200), (24, 30)):
+        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk, run).where("not ok").collect()} == {2, 6, 8, 9}
     rates = {(r.repo, r.dialect): (r.n_files, r.n_invalid) for r in parse_check.parse_rates(df.withColumn("repo", F.lit("q")), "id", "body", "dia", "repo").collect()}
     assert rates["q", "redshift"] == (2, 1) and rates["q", None] == (1, 0)
     assert parse_check.unparsable(empty.withColumn("dia", F.lit("oracle")), "id", "body", "dia").count() == 0
@@ -248,8 +248,11 @@ def test_parse_check_is_the_same_for_every_chunk_size(spark):
     rows = [(1, body + "\n=======\n select 2; end", "sqlserver"), (2, body + "select `a` from t; end", "oracle"), (3, body + "end", "sqlserver"), (4, dollar + "3", "snowflake"), (5, dollar.replace("$$ language", "language") + "3", "snowflake")]
     rows += [(6, ";\n" + body + "end", "oracle"), (7, "create table t (a int); " * 9 + "select a from", "redshift"), (8, "alter table t add (a int", "redshift"), (9, "select '" + "x$$" * 50 + "' as a$$b", "snowflake")]
     df = spark.createDataFrame(rows, "id long, body string, dia string")
-    for chunk in (65_536, 50, 7):
-        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk).where("not ok").collect()} == {1, 2, 5, 7, 8}, chunk
+    rows += [(20, "begin; create procedure p as begin select 1; end", "redshift"), (21, body + "select a from; end", "sqlserver"), (22, body, "sqlserver"), (23, "select a from t\nGO\n" * 40 + "select b from\nGO\nselect c from t", "sqlserver")]
+    rows += [(24, "select a from t\nGO\n" * 40, "sqlserver"), (25, "select a from t\n/\n" * 40, "oracle"), (26, "select a from t; GO\nselect b from u", "sqlserver")]
+    df = spark.createDataFrame(rows, "id long, body string, dia string")
+    for chunk, run in ((1024, 1 << 20), (50, 1 << 20), (24, 60), (30, 300)):
+        assert {r.rid for r in parse_check.parse_verdicts(df, "id", "body", "dia", chunk, run).where("not ok").collect()} == {1, 2, 5, 7, 8, 21, 22, 23}, (chunk, run)
 
 
 def test_links_within_one_set_count(spark):
