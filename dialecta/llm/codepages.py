@@ -68,34 +68,71 @@ def undo(text: str, written: str, read: str) -> str | None:
 
 
 @cache
-def _by_reading() -> tuple[tuple[str, frozenset[str], tuple[tuple[int, str], ...]], ...]:
-    """Each reading table with its characters outside ASCII and the (number, written table) of its swaps."""
+def _by_reading() -> tuple[tuple, ...]:
+    """Each reading table with its characters outside ASCII, its (number, written table) pairs of several bytes a letter,
+    its (number, cipher) pairs of single-byte tables, and the letters of those ciphers by byte (one row a cipher)."""
+    import numpy as np
+
     out: dict[str, list[tuple[int, str]]] = {}
     for k, (w, r) in enumerate(swaps()):
         out.setdefault(r, []).append((k, w))
-    return tuple((r, frozenset(c for c in reading(r) if ord(c) > 127) if r in SINGLE else frozenset(), tuple(pairs)) for r, pairs in out.items())
+    made = []
+    for r, pairs in out.items():
+        single = [(k, letters(w, r)) for k, w in pairs if r in SINGLE and w in SINGLE]
+        several = [(k, w) for k, w in pairs if not (r in SINGLE and w in SINGLE)]
+        table = reading(r) if r in SINGLE else {}
+        grid = np.zeros((len(single), 256), np.int64)
+        for row, (_, cipher) in enumerate(single):
+            for c, b in table.items():
+                grid[row, b] = ord(cipher.get(ord(c), c))
+        made.append((r, frozenset(c for c in table if ord(c) > 127), tuple(several), tuple(single), grid))
+    return tuple(made)
+
+
+#: Written tables of ideographs; they are tried in languages that have some.
+_IDEOGRAPHS = frozenset(("cp932", "euc_jp", "gb18030", "big5", "cp949"))
 
 
-def undone(text: str) -> list[tuple[int, str]]:
-    """(swap number, text as written) of every swap that the text can be traced back by and that changes it."""
-    outside = {c for c in text if ord(c) > 127}
+def readings_of(text: str, freq, rarer: float, ideographs: bool, kept: dict) -> list[tuple[int, str]]:
+    """(swap number, text as written) of every swap that the text can be traced back by and that changes it, but for
+    single-byte ciphers whose letters are rarer by more than ``rarer`` nats a letter.
+
+    ``freq`` is the log-frequency of characters; ``kept`` remembers the ciphers by the text's foreign letters. A text
+    may have been misread as another table more than once where it was written in UTF-8.
+    """
+    foreign = "".join(sorted(c for c in text if ord(c) > 127))
+    possible = kept.get(foreign)
+    if possible is None:
+        possible = []
+        for r, known, several, single, grid in _by_reading():
+            if not known:
+                possible.append((r, None, several, ()))
+            elif known.issuperset(foreign):
+                table = reading(r)
+                delta = freq[grid[:, [table[c] for c in foreign]]].sum(axis=1) - sum(float(freq[min(ord(c), 0xFFFF)]) for c in foreign)
+                possible.append((r, table, several, tuple(x for x, d in zip(single, delta.tolist()) if d > -rarer * len(foreign))))
+        if len(kept) < 100_000:
+            kept[foreign] = possible
     out = []
-    for r, known, pairs in _by_reading():
-        if known:
-            if not outside <= known:
-                continue
-            table = reading(r)
-            raw = bytes([table[c] for c in text])
-        else:
-            try:
-                raw = text.encode(r)
-            except UnicodeError:
+    for r, table, several, single in possible:
+        for k, cipher in single:
+            z = text.translate(cipher)
+            if z != text:
+                out.append((k, z))
+        try:
+            raw = text.encode(r) if table is None else bytes([table[c] for c in text])
+        except UnicodeError:
+            continue
+        for k, w in several:
+            if w in _IDEOGRAPHS and not ideographs:
                 continue
-        for k, w in pairs:
             try:
-                z = text.translate(letters(w, r)) if known and w in SINGLE else raw.decode(w)
+                z = raw.decode(w)
             except UnicodeError:
                 continue
-            if z != text:
+            for _ in range(3):
+                if z is None or z == text:
+                    break
                 out.append((k, z))
+                z = undo(z, w, r) if w == "utf-8" and not z.isascii() else None
     return out
