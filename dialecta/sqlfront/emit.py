@@ -2,172 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 from dialecta.sqlfront.ddl import Column, Constraint, RoutineSpec, TableSpec, TriggerSpec, ViewSpec
-from dialecta.sqlfront.dialects import DIALECTS, SPARKISH, TSQL, Dialect, dialect, quoted
+from dialecta.sqlfront.dialects import SPARKISH, Dialect, dialect, quoted
 from dialecta.sqlfront.front import Finding
-from dialecta.sqlfront.lexer import Group, WORD, plain, split_at, tokens, tree
+from dialecta.sqlfront.lexer import tokens, tree
+from dialecta.sqlfront.speak import Notes, expression, query_text
 from dialecta.sqlfront.types import spell
 
 MAX_CLUSTER = 4
 
 
-class _Notes(list):
-    def add(self, code: str, message: str, severity: str = "warning") -> None:
-        self.append(Finding(code, severity, message))
-
-
-# --- expressions for other dialects -------------------------------------------
-
-#: How a common function is called where its own name is unknown: name -> {dialects: template}.
-_CALLS: dict[str, tuple[tuple[tuple[str, ...], str], ...]] = {
-    "NVL": ((TSQL, "ISNULL({0}, {1})"), (("bigquery",), "IFNULL({0}, {1})"), ((*SPARKISH,), "COALESCE({*})")),
-    "ISNULL": ((("oracle", "snowflake", "redshift"), "NVL({*})"), (("bigquery", *SPARKISH), "IFNULL({*})")),
-    "IFNULL": ((TSQL, "ISNULL({*})"), (("oracle", "redshift"), "NVL({*})")),
-    "IFF": (((*TSQL,), "IIF({*})"), (("bigquery", *SPARKISH), "IF({*})"), (("oracle", "redshift"), "CASE WHEN {0} THEN {1} ELSE {2} END")),
-    "NVL2": (((*TSQL, "bigquery", *SPARKISH), "CASE WHEN {0} IS NOT NULL THEN {1} ELSE {2} END"),),
-    "ZEROIFNULL": ((tuple(x for x in DIALECTS if x != "snowflake"), "COALESCE({0}, 0)"),),
-    "LEN": ((tuple(x for x in DIALECTS if x not in TSQL), "LENGTH({*})"),),
-    "LENGTH": ((TSQL, "LEN({*})"),),
-    "SUBSTR": ((TSQL, "SUBSTRING({*})"),),
-    "SUBSTRING": ((("oracle",), "SUBSTR({*})"),),
-    "CHARINDEX": ((("oracle",), "INSTR({1}, {0})"), (SPARKISH, "LOCATE({*})"), (("bigquery",), "STRPOS({1}, {0})")),
-    "CEIL": ((TSQL, "CEILING({*})"),),
-    "CEILING": ((tuple(x for x in DIALECTS if x not in TSQL), "CEIL({*})"),),
-    "GETDATE": ((("oracle",), "SYSDATE"), (("snowflake", "bigquery", *SPARKISH), "CURRENT_TIMESTAMP()")),
-    "LISTAGG": (((*TSQL, "bigquery", *SPARKISH), "STRING_AGG({*})"),),
-    "STRING_AGG": ((("oracle", "snowflake", "redshift"), "LISTAGG({*})"),),
-    "LAST_DAY": ((TSQL, "EOMONTH({*})"),),
-    "EOMONTH": ((tuple(x for x in DIALECTS if x not in TSQL), "LAST_DAY({*})"),),
-    "ADD_MONTHS": ((TSQL, "DATEADD(MONTH, {1}, {0})"), (("bigquery",), "DATE_ADD({0}, INTERVAL {1} MONTH)")),
-    "DATE_TRUNC": ((TSQL, "DATETRUNC({0u}, {1})"), (("oracle",), "TRUNC({1}, '{0o}')"), (("bigquery",), "DATE_TRUNC({1}, {0u})")),
-    "DATETRUNC": ((("snowflake", "redshift", *SPARKISH), "DATE_TRUNC('{0u}', {1})"), (("oracle",), "TRUNC({1}, '{0o}')"), (("bigquery",), "DATE_TRUNC({1}, {0u})")),
-    "DATEPART": ((("snowflake", "redshift"), "DATE_PART('{0u}', {1})"), (("oracle", "bigquery", *SPARKISH), "EXTRACT({0u} FROM {1})")),
-    "DATE_PART": ((TSQL, "DATEPART({0u}, {1})"), (("oracle", "bigquery"), "EXTRACT({0u} FROM {1})")),
-    "DATEADD": ((("bigquery",), "DATE_ADD({2}, INTERVAL {1} {0u})"), (("oracle",), "({2} + NUMTODSINTERVAL({1}, '{0u}'))")),
-    "TO_CHAR": ((TSQL, "FORMAT({*})"), (SPARKISH, "DATE_FORMAT({*})")),
-    "FORMAT": ((("oracle", "snowflake", "redshift"), "TO_CHAR({*})"), (SPARKISH, "DATE_FORMAT({*})")),
-    "TO_NUMBER": ((TSQL, "CAST({0} AS FLOAT)"),),
-    "SAFE_CAST": ((tuple(x for x in DIALECTS if x != "bigquery"), "TRY_CAST({*})"),),
-    "TRY_CAST": ((("bigquery",), "SAFE_CAST({*})"),),
-    "COLLECT_LIST": ((("snowflake", "bigquery", "oracle", "redshift"), "ARRAY_AGG({*})"),),
-}
-_ORACLE_UNITS = {"YEAR": "YYYY", "MONTH": "MM", "DAY": "DD", "QUARTER": "Q", "WEEK": "IW", "HOUR": "HH24", "MINUTE": "MI"}
-#: What a target cannot say at all.
-_UNSUPPORTED = (
-    ("QUALIFY", (*TSQL, "oracle", "redshift"), "QUALIFY_CLAUSE", "QUALIFY must become a filter over a subquery"),
-    ("MATCH_RECOGNIZE", tuple(x for x in DIALECTS if x not in ("oracle", "snowflake")), "MATCH_RECOGNIZE", "row patterns need a manual rewrite"),
-    ("CONNECT", tuple(x for x in DIALECTS if x not in ("oracle", "snowflake")), "CONNECT_BY", "CONNECT BY must become a recursive query"),
-    ("PIVOT", ("redshift", "bigquery"), "PIVOT_OPERATOR", "PIVOT differs between dialects"),
-    ("CUBE", (), "CUBE", "check the spelling of CUBE"),
-    ("FLATTEN", tuple(x for x in DIALECTS if x != "snowflake"), "FLATTEN_FUNCTION", "FLATTEN exists in Snowflake only"),
-    ("EXPLODE", tuple(x for x in DIALECTS if x not in SPARKISH), "EXPLODE_FUNCTION", "EXPLODE exists in Spark dialects only"),
-    ("INITCAP", TSQL, "INITCAP_UNSUPPORTED", "INITCAP has no T-SQL form"),
-    ("REGEXP_REPLACE", TSQL, "REGEXP_UNSUPPORTED", "regular expressions have no T-SQL form"),
-    ("REGEXP_SUBSTR", TSQL, "REGEXP_UNSUPPORTED", "regular expressions have no T-SQL form"),
-    ("NEXTVAL", tuple(x for x in DIALECTS if x not in ("oracle", "snowflake")), "SEQUENCE_USE", "sequences are not carried over"),
-    ("TABLESAMPLE", (), "TABLESAMPLE", "check the spelling of sampling"),
-)
-
-
-def expression(items: list, source: Dialect, target: Dialect, notes: _Notes) -> str:
-    """Items of a source dialect as text of the target: names re-quoted, calls renamed."""
-    out, i = [], 0
-    while i < len(items):
-        t = items[i]
-        nxt = items[i + 1] if i + 1 < len(items) else None
-        if isinstance(t, Group):
-            out.append(t.gap + "(" + expression(t.items, source, target, notes) + ")")
-        elif t.kind == WORD and isinstance(nxt, Group) and t.upper in _CALLS:
-            args = [expression(a, source, target, notes).strip() for a in split_at(nxt.items, ",")] if nxt.items else []
-            out.append(t.gap + _call(t.upper, args, target, notes))
-            i += 2
-            continue
-        elif t.kind == "quoted":
-            out.append(t.gap + quoted(t.value.split(".") if t.text[0] == "`" else [t.value], target))
-        elif t.kind == "string":
-            out.append(t.gap + "'" + t.value.replace("'", "''") + "'")
-        elif t.is_("SYSDATE") and target.name != "oracle":
-            out.append(t.gap + ("GETDATE()" if target.tsql or target.name == "redshift" else "CURRENT_TIMESTAMP()"))
-        elif t.is_("TRUE", "FALSE") and (target.tsql or target.name == "oracle"):
-            notes.add("BOOLEAN_LITERAL", "boolean literals became 1 and 0", "info")
-            out.append(t.gap + ("1" if t.is_("TRUE") else "0"))
-        elif t.is_("ILIKE") and target.name not in ("redshift", "snowflake", *SPARKISH):
-            notes.add("ILIKE", "ILIKE became LIKE; case matters by collation")
-            out.append(t.gap + "LIKE")
-        elif t.is_("RECURSIVE") and target.tsql:
-            i += 1
-            continue
-        elif t.text == "||" and target.tsql:
-            notes.add("PIPE_CONCAT", "|| became +", "info")
-            out.append(t.gap + "+")
-        elif t.text == "::" and target.name not in ("redshift", "snowflake", *SPARKISH) and nxt is not None:
-            j = i + 2 + (1 if i + 2 < len(items) and isinstance(items[i + 2], Group) else 0)
-            previous = out.pop() if out else ""
-            gap = previous[: len(previous) - len(previous.lstrip())]
-            out.append(f"{gap}CAST({previous.strip()} AS {plain(items[i + 1 : j]).strip()})")
-            i = j
-            continue
-        else:
-            out.append(t.gap + t.text)
-        i += 1
-    return "".join(out)
-
-
-def _call(name: str, args: list[str], target: Dialect, notes: _Notes) -> str:
-    for dialects, template in _CALLS[name]:
-        if target.name in dialects:
-            unit = args[0].strip("'\" ").upper() if args else ""
-            text = template.replace("{*}", ", ".join(args)).replace("{0u}", unit).replace("{0o}", _ORACLE_UNITS.get(unit, unit))
-            if name == "NVL" and len(args) > 2:
-                text = f"COALESCE({', '.join(args)})"
-            for k, a in enumerate(args):
-                text = text.replace("{" + str(k) + "}", a)
-            notes.add(name, f"{name} became {text.split('(')[0]}", "info")
-            return text
-    return f"{name}({', '.join(args)})"
-
-
-def query_text(sql: str, source: str, target: str) -> tuple[str, list[Finding]]:
-    """A query of one dialect in another: names, calls, TOP/LIMIT, null order and what cannot be said."""
-    s, t, notes = dialect(source), dialect(target), _Notes()
-    flat = tokens(sql, s)
-    words = {x.upper for x in flat if x.kind == WORD}
-    for word, where, code, message in _UNSUPPORTED:
-        if word in words and (t.name in where or not where):
-            notes.add(code, message, "warning" if where else "info")
-    text = expression(tree(flat), s, t, notes)
-    if s.tsql and not t.tsql:
-        m = re.search(r"(?i)\bselect\s+top\s*\(?\s*(\d+)\s*\)?", text)
-        if m:
-            text = text[: m.start()] + text[m.start() : m.start() + 6] + text[m.end() :]
-            text += f" FETCH FIRST {m.group(1)} ROWS ONLY" if t.name == "oracle" else f" LIMIT {m.group(1)}"
-        text = re.sub(r"(?i)\s+with\s*\(\s*nolock\s*\)", "", text)
-    if t.tsql or t.name == "oracle":
-        m = re.search(r"(?is)\blimit\s+(\d+)(?:\s+offset\s+(\d+))?\s*$", text)
-        if m and t.name == "oracle":
-            text = text[: m.start()] + (f"OFFSET {m.group(2)} ROWS " if m.group(2) else "") + f"FETCH FIRST {m.group(1)} ROWS ONLY"
-        elif m:
-            if not re.search(r"(?i)\border\s+by\b", text):
-                notes.add("LIMIT_WITHOUT_ORDER", "OFFSET .. FETCH needs an ORDER BY")
-                text = text[: m.start()] + "ORDER BY (SELECT NULL) " + text[m.start() :]
-                m = re.search(r"(?is)\blimit\s+(\d+)(?:\s+offset\s+(\d+))?\s*$", text)
-            text = text[: m.start()] + f"OFFSET {m.group(2) or 0} ROWS FETCH NEXT {m.group(1)} ROWS ONLY"
-    if t.tsql:
-        text = re.sub(r"(?i)\s+nulls\s+(first|last)\b", "", text)
-    if s.name == "oracle" and t.name != "oracle":
-        text = re.sub(r"(?i)\s+from\s+dual\b", "", text)
-        text = re.sub(r"(?i)\bminus\b", "EXCEPT", text)
-    if t.name == "oracle":
-        text = re.sub(r"(?i)\bexcept\b", "MINUS", text)
-    return text.strip(), list(notes)
-
-
 # --- tables -------------------------------------------------------------------
 
 
-def _default(c: Column, source: Dialect, target: Dialect, notes: _Notes) -> str:
+def _default(c: Column, source: Dialect, target: Dialect, notes: Notes) -> str:
     if c.default is None:
         return ""
     if target.name == "fabric_dw":
@@ -179,7 +27,7 @@ def _default(c: Column, source: Dialect, target: Dialect, notes: _Notes) -> str:
     return f" DEFAULT {text}"
 
 
-def _identity(c: Column, target: Dialect, notes: _Notes) -> tuple[str | None, str]:
+def _identity(c: Column, target: Dialect, notes: Notes) -> tuple[str | None, str]:
     """(type override, clause) of an identity column."""
     start, step = c.identity
     if target.name in ("redshift", "snowflake", "sqlserver", "synapse"):
@@ -192,7 +40,7 @@ def _identity(c: Column, target: Dialect, notes: _Notes) -> tuple[str | None, st
     return ("BIGINT" if target.name == "fabric_lakehouse" else None), ""
 
 
-def _column_line(c: Column, spec: TableSpec, source: Dialect, target: Dialect, notes: _Notes, lengths: dict[str, int]) -> str:
+def _column_line(c: Column, spec: TableSpec, source: Dialect, target: Dialect, notes: Notes, lengths: dict[str, int]) -> str:
     kind = c.type
     if kind.generic == "TEXT" and lengths:
         n = lengths.get(f"{spec.name[-1]}.{c.name}".lower(), lengths.get("*"))
@@ -233,7 +81,7 @@ def _column_line(c: Column, spec: TableSpec, source: Dialect, target: Dialect, n
     return line
 
 
-def _constraint_line(k: Constraint, spec: TableSpec, target: Dialect, source: Dialect, notes: _Notes) -> str | None:
+def _constraint_line(k: Constraint, spec: TableSpec, target: Dialect, source: Dialect, notes: Notes) -> str | None:
     cols = ", ".join(quoted([c], target) for c in k.columns)
     label = f"CONSTRAINT {quoted([k.name], target)} " if k.name else ""
     tail = " NOT ENFORCED" if target.name in ("synapse", "fabric_dw", "bigquery") else ""
@@ -256,7 +104,7 @@ def _constraint_line(k: Constraint, spec: TableSpec, target: Dialect, source: Di
     return None
 
 
-def _layout(spec: TableSpec, target: Dialect, notes: _Notes) -> list[str]:
+def _layout(spec: TableSpec, target: Dialect, notes: Notes) -> list[str]:
     """Clauses of physical design; what a target cannot place is reported."""
     q = lambda cols: ", ".join(c if "(" in c else quoted([c], target) for c in cols)
     out: list[str] = []
@@ -316,7 +164,7 @@ def _layout(spec: TableSpec, target: Dialect, notes: _Notes) -> list[str]:
 def emit_table(spec: TableSpec, source: str, target: str, schema: str | None = None, lengths: dict[str, int] | None = None) -> tuple[str, list[Finding]]:
     """A table for a target dialect. ``schema`` replaces the namespace; ``lengths`` bound TEXT columns
     (``table.column`` or ``*`` to length)."""
-    s, t, notes = dialect(source), dialect(target), _Notes()
+    s, t, notes = dialect(source), dialect(target), Notes()
     name = [schema, spec.name[-1]] if schema else spec.name
     lines = [_column_line(c, spec, s, t, notes, {k.lower(): v for k, v in (lengths or {}).items()}) for c in spec.columns]
     after: list[str] = []
@@ -358,7 +206,7 @@ def emit_view(spec: ViewSpec, source: str, target: str, schema: str | None = Non
     """A view or materialized view for a target dialect."""
     t = dialect(target)
     body, findings = query_text(spec.query, source, target)
-    notes = _Notes(findings)
+    notes = Notes(findings)
     name = quoted([schema, spec.name[-1]] if schema else spec.name, t)
     cols = f" ({', '.join(quoted([c], t) for c in spec.columns)})" if spec.columns else ""
     if not spec.materialized:
@@ -378,7 +226,7 @@ def emit_view(spec: ViewSpec, source: str, target: str, schema: str | None = Non
 
 def emit_routine(spec: RoutineSpec, source: str, target: str) -> tuple[str, list[Finding]]:
     """The frame of a routine for a target; bodies are carried over for review."""
-    t, notes = dialect(target), _Notes()
+    t, notes = dialect(target), Notes()
     name = quoted(spec.name, t)
     notes.add(f"{spec.kind.upper()}_BODY_MANUAL", "the body was carried over; review it")
     params = f"({spec.parameters})"
@@ -398,7 +246,7 @@ def emit_routine(spec: RoutineSpec, source: str, target: str) -> tuple[str, list
 
 def emit_trigger(spec: TriggerSpec, source: str, target: str) -> tuple[str, list[Finding]]:
     """A trigger for the two targets that have them; elsewhere a comment and an error."""
-    t, notes = dialect(target), _Notes()
+    t, notes = dialect(target), Notes()
     if t.name not in ("oracle", "sqlserver"):
         notes.add("TRIGGER_UNSUPPORTED", f"{target} has no triggers; react to changes where the data is loaded", "error")
         return f"-- trigger {'.'.join(spec.name)} on {'.'.join(spec.table)} is not supported", list(notes)
