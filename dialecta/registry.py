@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 def load() -> None:
     """Import every module that registers queries."""
     from dialecta.operators import reference_checks, relational  # noqa: F401
-    from dialecta.plans import dialect_queries, engine_queries  # noqa: F401
+    from dialecta.plans import dialect_queries, emit_queries, engine_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -211,3 +211,57 @@ def test_requests_convert_to_their_own_target(spark, tmp_path):
     assert len(got) == 9 * 4 + 1 and {k for k, r in got.items() if r.requested} == {(1, "sqlserver"), (2, "bigquery"), (4, "db2")}
     assert "[dw].[t]" in got[1, "sqlserver"].sql and "VARCHAR(99)" in got[1, "sqlserver"].sql and "[dw]" not in got[1, "fabric_dw"].sql
     assert got[4, "db2"].error
+
+
+SAID = [
+    ("sqlserver", "SELECT TOP 5 a FROM t ORDER BY b", {"snowflake": "SELECT a FROM t ORDER BY b NULLS FIRST LIMIT 5", "oracle": "FETCH FIRST 5 ROWS ONLY", "bigquery": "SELECT a FROM t ORDER BY b LIMIT 5"}),
+    ("oracle", "SELECT INSTR(a, 'x'), EXTRACT(YEAR FROM c) FROM t", {"sqlserver": "CHARINDEX('x', a), DATEPART(YEAR, c)", "snowflake": "CHARINDEX('x', a)", "databricks": "LOCATE('x', a)"}),
+    ("redshift", "SELECT CONVERT_TIMEZONE('UTC', 'Asia/Dubai', a), CURRENT_DATE, POSITION('x' IN b), date_part_year(c) FROM t", {"sqlserver": "a AT TIME ZONE 'UTC' AT TIME ZONE 'Arabian Standard Time', CAST(GETDATE() AS DATE), CHARINDEX('x', b), YEAR(c)", "oracle": "EXTRACT(YEAR FROM c)"}),
+    ("sqlserver", "SELECT DATEDIFF(month, a, b), DATEADD(month, 2, c) FROM t", {"oracle": "ADD_MONTHS(c, 2)", "bigquery": "DATE_DIFF(b, a, MONTH), DATE_ADD(c, INTERVAL 2 MONTH)"}),
+    ("oracle", "SELECT DECODE(a, 1, 'x', NULL, 'n', 'z'), CAST(b AS VARCHAR2(5)) FROM t", {"sqlserver": "CASE WHEN a = 1 THEN 'x' WHEN a IS NULL THEN 'n' ELSE 'z' END, CAST(b AS VARCHAR(5))"}),
+    ("sqlserver", "SELECT x.a FROM t OUTER APPLY (SELECT MAX(b) AS a FROM u WHERE u.k = t.k) x", {"snowflake": "LEFT JOIN LATERAL (SELECT MAX(b) AS a FROM u WHERE u.k = t.k) x ON TRUE"}),
+    ("snowflake", "SELECT a FROM t QUALIFY ROW_NUMBER() OVER (ORDER BY b) = 1", {"fabric_lakehouse": "WHERE qualify_1 = 1", "sqlserver": "WHERE qualify_1 = 1", "databricks": "QUALIFY"}),
+    ("snowflake", "SELECT a FROM t SAMPLE (10)", {"bigquery": "TABLESAMPLE SYSTEM (10 PERCENT)", "oracle": "SAMPLE (10)"}),
+    ("oracle", "SELECT a FROM t START WITH b IS NULL CONNECT BY PRIOR a = b", {"snowflake": "START WITH b IS NULL CONNECT BY PRIOR a = b", "redshift": "WITH RECURSIVE"}),
+    ("redshift", "SELECT a FROM (SELECT a FROM t LIMIT 3) x", {"sqlserver": "SELECT TOP (3) a FROM t"}),
+    ("snowflake", "SELECT a FROM t LIMIT 5 OFFSET 3", {"oracle": "OFFSET 3 ROWS FETCH FIRST 5 ROWS ONLY", "synapse": "ORDER BY (SELECT NULL) OFFSET 3 ROWS FETCH NEXT 5 ROWS ONLY"}),
+    ("oracle", "SELECT a FROM t WHERE ROWNUM <= 3 ORDER BY a DESC", {"databricks": "FROM (SELECT * FROM t LIMIT 3) t ORDER BY a DESC"}),
+]
+
+
+@pytest.mark.parametrize("source,sql,parts", SAID)
+def test_said_in_other_dialects(source, sql, parts):
+    for target, part in parts.items():
+        assert part in convert.convert(sql, source, target).sql, target
+
+
+_PIECES = ["'top 5 it''s'", "'a minus b'", "'x nulls first'", "a", "NVL(a, 'isnull(len(')", "'-- limit 3'", "'/* from dual */'", "COALESCE(b, 'sysdate')", "'[x] \"y\" `z` || + ::int'"]
+
+
+@given(st.lists(st.sampled_from(_PIECES), min_size=1, max_size=5), st.sampled_from(sorted(DIALECTS)), st.sampled_from(sorted(DIALECTS)), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_literals_are_never_changed(pieces, source, target, nested):
+    text = f"SELECT {', '.join(pieces)} FROM t ORDER BY a"
+    text = f"SELECT * FROM ({text}) x" if nested else text
+    d = dialect(source)
+    want = [t.value for t in tokens(text, d) if t.kind == "string"]
+    got = [t.value for t in tokens(convert.convert(text, source, target).sql, dialect(target)) if t.kind == "string"]
+    assert got == want
+
+
+@pytest.mark.parametrize("source,sql,target", [
+    ("snowflake", "SELECT STRTOK_TO_ARRAY(a), DIV0(a, b), OBJECT_CONSTRUCT('k', a) FROM t", "oracle"), ("sqlserver", "SELECT DATENAME(month, a) FROM t", "bigquery"), ("redshift", "SELECT FNV_HASH(a) FROM t", "snowflake"), ("oracle", "SELECT seq.NEXTVAL FROM dual", "bigquery"),
+    ("redshift", "SELECT a FROM t WHERE b SIMILAR TO '%x%'", "sqlserver"), ("bigquery", "SELECT x FROM t, UNNEST(a) AS x", "redshift"), ("oracle", "SELECT a FROM t WHERE ROWNUM > b", "snowflake"), ("snowflake", "SELECT * FROM t MATCH_RECOGNIZE (PATTERN (a))", "databricks"),
+    ("sqlserver", "SELECT TOP 5 PERCENT a FROM t", "redshift"), ("databricks", "SELECT EXPLODE(a) FROM t", "oracle"), ("oracle", "SELECT INITCAP(a), REGEXP_SUBSTR(a, 'x') FROM t", "fabric_dw"), ("snowflake", "SELECT CAST(a AS VARIANT) FROM t", "sqlserver"),
+])
+def test_what_a_target_does_not_know_is_found(source, sql, target):
+    r = convert.convert(sql, source, target)
+    assert r.score < 1 and r.findings
+
+
+def test_own_dialect_has_nothing_unknown():
+    from dialecta.sqlfront.vocabulary import unknown_to
+
+    assert not unknown_to("SELECT TOP 5 LEN(a), ISNULL(b, 'QUALIFY ::') FROM t WITH (NOLOCK) CROSS APPLY u", "sqlserver")
+    assert not unknown_to("SELECT NVL(a, b), limit_ FROM dual WHERE ROWNUM < 3 CONNECT BY PRIOR a = b", "oracle")
+    assert {c for c, _ in unknown_to("SELECT a::int, NVL(a, b) FROM t LIMIT 3", "sqlserver")} == {"CAST_OPERATOR", "FUNCTION_NVL", "CLAUSE_LIMIT"}
