@@ -15,6 +15,7 @@ from dialecta.sqlfront.dialects import dialect
 from dialecta.sqlfront.front import Context, known_columns, render, query
 from dialecta.sqlfront.lexer import Group, plain, split_at, tree
 from dialecta.sqlfront.script import Statement, statements
+from dialecta.tables import swap, written
 
 
 @dataclass
@@ -71,7 +72,8 @@ def updated(spark: SparkSession, s: Statement, source: str) -> tuple[str, DataFr
         cols = [f"CASE WHEN {where} THEN {low[n.lower()]} ELSE `{n}` END AS `{n}`" if n.lower() in low else f"`{n}`" for n in old.columns]
         new = spark.sql(f"SELECT {', '.join(cols)} FROM __dml_old AS `{alias}`")
     else:
-        old.withColumn("__row", F.monotonically_increasing_id()).createOrReplaceTempView("__dml_old")
+        numbered = written(old.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # the same numbers at every use
+        numbered.createOrReplaceTempView("__dml_old")
         hit = spark.sql(f"SELECT `{alias}`.__row, {', '.join(f'{e} AS `__new_{n}`' for n, e in sets.items())} FROM __dml_old AS `{alias}`, {render(cl['FROM'], c).strip()} WHERE {where}").dropDuplicates(["__row"])
         joined = spark.table("__dml_old").join(hit.withColumn("__hit", F.lit(True)), "__row", "left")
         new = joined.select(*(F.when(F.col("__hit"), F.col(f"__new_{next(k for k in sets if k.lower() == n.lower())}")).otherwise(F.col(n)).alias(n) if n.lower() in low else F.col(n) for n in old.columns))
@@ -126,8 +128,8 @@ def merged(spark: SparkSession, s: Statement, source: str) -> tuple[str, DataFra
         source_sql = _alias(src)[0]
     on = render(cl["ON"], c).strip()
     old = spark.table(table)
-    old.withColumn("__t", F.monotonically_increasing_id()).createOrReplaceTempView("__merge_old")
-    spark.sql(f"SELECT *, true AS __s, monotonically_increasing_id() AS __sid FROM {source_sql} AS `{source_alias}`").createOrReplaceTempView("__merge_src")
+    written(old.withColumn("__t", F.monotonically_increasing_id()), "numbered").createOrReplaceTempView("__merge_old")
+    written(spark.sql(f"SELECT *, true AS __s, monotonically_increasing_id() AS __sid FROM {source_sql} AS `{source_alias}`"), "numbered").createOrReplaceTempView("__merge_src")
     branches = _branches(items[when:], c, old.columns)
     both = f"`{alias}`.__t IS NOT NULL AND `{source_alias}`.__s IS NOT NULL"
     only_s, only_t = f"`{alias}`.__t IS NULL", f"`{source_alias}`.__s IS NULL"
@@ -192,9 +194,7 @@ def apply(spark: SparkSession, sql: str, source: str, path: str) -> int:
     beside = fs_path(path + ".__new")
     new.write.mode("overwrite").parquet(path + ".__new")
     fs = beside.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.rename(fs_path(path), fs_path(path + ".__old"))
-    fs.rename(beside, fs_path(path))
-    fs.delete(fs_path(path + ".__old"), True)
+    swap(fs, fs_path, path + ".__new", path)
     fresh = spark.read.parquet(path)
     fresh.createOrReplaceTempView(table)
     return fresh.count()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialecta.tables import swap
+
 
 def event_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 4) -> DataFrame:
     """A stream over parquet files that arrive in a folder."""
@@ -57,8 +59,7 @@ def upsert_sink(path: str, key: str, order: str) -> Callable[[DataFrame, int], N
         newest = every.groupBy(key).agg(F.max_by(F.struct(*every.columns), order).alias("r")).select("r.*")
         beside = f"{path}.__{epoch}"
         newest.write.mode("overwrite").parquet(beside)
-        fs.delete(target, True)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(beside), target)
+        swap(fs, jvm.org.apache.hadoop.fs.Path, beside, path)
 
     return write
 

@@ -29,6 +29,12 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, with this package known to the executors: an operator's first step on a caller's table."""
+    ship(df.sparkSession)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory (one file or a folder of parts)."""
     ship(spark)
@@ -38,11 +44,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset
-    (local tests) a folder of this machine is made and set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and
+    all runs on this machine (local tests) a folder of it is made and set.
     """
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_to:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         set_to = "file://" + os.path.join(tempfile.gettempdir(), f"dialecta-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(set_to)
         atexit.register(shutil.rmtree, set_to.removeprefix("file://"), ignore_errors=True)
@@ -61,6 +69,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swap(fs, hadoop_path, fresh: str, path: str) -> None:
+    """Puts the finished directory ``fresh`` in the place of ``path``; whatever fails, the old content stays or is put back.
+
+    ``fs`` is a Hadoop file system, ``hadoop_path`` makes its paths. Nothing is deleted before the new directory is in place.
+    """
+    now, old = hadoop_path(path), hadoop_path(f"{path.rstrip('/')}.__old-{uuid.uuid4().hex}")
+    had = fs.exists(now)
+    if had and not fs.rename(now, old):
+        raise OSError(f"{path} could not be moved aside; it is unchanged")
+    if not fs.rename(hadoop_path(fresh), now):
+        if had and not fs.rename(old, now):
+            raise OSError(f"{path} could not be replaced nor put back; its content is in {old}")
+        raise OSError(f"{path} could not be replaced; it is unchanged")
+    if had:
+        fs.delete(old, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows that are few bytes but much work, over at least two tasks a core; adaptive execution leaves them apart."""
     spark = df.sparkSession

@@ -265,3 +265,40 @@ def test_own_dialect_has_nothing_unknown():
     assert not unknown_to("SELECT TOP 5 LEN(a), ISNULL(b, 'QUALIFY ::') FROM t WITH (NOLOCK) CROSS APPLY u", "sqlserver")
     assert not unknown_to("SELECT NVL(a, b), limit_ FROM dual WHERE ROWNUM < 3 CONNECT BY PRIOR a = b", "oracle")
     assert {c for c, _ in unknown_to("SELECT a::int, NVL(a, b) FROM t LIMIT 3", "sqlserver")} == {"CAST_OPERATOR", "FUNCTION_NVL", "CLAUSE_LIMIT"}
+
+
+class _Files:
+    """A file system of names in memory whose n-th rename fails."""
+
+    def __init__(self, names, fails):
+        self.names, self.fails, self.n = dict(names), fails, 0
+
+    def exists(self, p):
+        return p in self.names
+
+    def rename(self, a, b):
+        self.n += 1
+        if self.n in self.fails or b in self.names:
+            return False
+        self.names[b] = self.names.pop(a)
+        return True
+
+    def delete(self, p, _):
+        return self.names.pop(p, None) is not None
+
+
+@pytest.mark.parametrize("fails,kept", [((), "new"), ((1,), "old"), ((2,), "old")])
+def test_a_failing_rename_keeps_the_table(fails, kept):
+    from dialecta.tables import swap
+
+    fs = _Files({"/t": "old", "/t.new": "new"}, fails)
+    if fails:
+        with pytest.raises(OSError):
+            swap(fs, str, "/t.new", "/t")
+    else:
+        swap(fs, str, "/t.new", "/t")
+    assert fs.names["/t"] == kept and (fails or len(fs.names) == 1)
+    lost = _Files({"/t": "old", "/t.new": "new"}, (2, 3))
+    with pytest.raises(OSError):
+        swap(lost, str, "/t.new", "/t")
+    assert "old" in lost.names.values()
