@@ -1,10 +1,10 @@
 """Problem 3: references to records that do not exist.
 
-Parents are range-partitioned by (key, time) and each range is stored as one
-row of sorted arrays: key, start, running latest end of the key, and whether
-the key lives on. References are sent to the range that their (key, time) falls
-into, hot ranges in several salted shares of bounded size, and each batch is
-probed with one vectorised binary search.
+Parents and references are range-partitioned together by (key, time). Within a
+range, batch by batch, the parents are sorted arrays: key, start, running
+latest end of the key, and whether the key lives on; the references of the
+batch are probed with one vectorised binary search. A key that begins in one
+range and goes on in others is settled from one row per range.
 
 A reference is fine when a parent of its key existed at its time and some
 parent of the key has no end. Shared parents are looked up beside a
@@ -21,17 +21,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialecta.tables import written
+from dialecta.tables import shipped, written
 
-PER_RANGE = 50_000  # parents in one range
-PER_SHARE = 200_000  # references probed by one task at once
 _NEVER = (1 << 62) - 1
-
-_RANGES = "range_id int, first_key string, first_at long, keys array<string>, starts array<long>, ends array<long>, lives array<boolean>, next_key string, next_lives boolean"
+_KEY_ROW, _NO_TIME = -(1 << 62), -(1 << 61)  # before all times
 
 
 def bare_name(c: Column) -> Column:
@@ -51,94 +49,95 @@ def key_of(*parts: Column) -> Column:
     return F.concat_ws("\u0001", *(F.coalesce(p, F.lit("\u0002")) for p in parts))
 
 
-def _to_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sorted rows of one partition as one row of arrays."""
-    all_ = pd.concat(list(batches), ignore_index=True)  # at most about PER_RANGE rows
-    if len(all_):
-        yield pd.DataFrame({
-            "range_id": [int(all_["part"].iloc[0])], "first_key": [all_["key"].iloc[0]], "first_at": [int(all_["start"].iloc[0])],
-            "keys": [all_["key"].to_numpy()], "starts": [all_["start"].to_numpy()], "ends": [all_["latest_end"].to_numpy()], "lives": [all_["lives"].to_numpy()],
-        })
-
-
-def parent_ranges(parents: DataFrame) -> DataFrame:
-    """Ranges of (key, start, end) with microsecond times; null ends never come."""
-    p = parents.select("key", F.coalesce("start", F.lit(_NEVER)).alias("start"), F.coalesce("end", F.lit(_NEVER)).alias("end")).distinct()
-    by_key = Window.partitionBy("key")
-    so_far = by_key.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    p = p.withColumn("latest_end", F.max("end").over(so_far)).withColumn("lives", F.max(F.col("end") == _NEVER).over(by_key))
-    p = written(p, "parents")
-    n = max(1, -(-p.count() // PER_RANGE))
-    ordered = p.repartitionByRange(n, "key", "start").sortWithinPartitions("key", "start", "end")
-    rows = ordered.select(F.spark_partition_id().alias("part"), "key", "start", "latest_end", "lives").mapInPandas(_to_range, _RANGES.rsplit(", next_key", 1)[0])
-    return written(rows, "parent-ranges")
-
-
-def _searcher(firsts: list[tuple[int, str, int]]):
-    """Adds to each reference the range its (key, time) falls into, and a share of it."""
-    keys, at, ids = (list(x) for x in zip(*[(k, t, i) for i, k, t in firsts])) if firsts else ([], [], [])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lows = list(zip(keys, at))
-        arr = np.empty(len(lows), dtype=object)
-        arr[:] = lows
-        for b in batches:
-            probe = np.empty(len(b), dtype=object)
-            probe[:] = list(zip(b["key"].fillna("").astype(str), b["at"].fillna(-1).astype("int64")))
-            place = np.searchsorted(arr, probe, side="right") - 1 if len(arr) else np.zeros(len(b), int)
-            place = np.clip(place, 0, None)
-            rid = np.array(ids, dtype=np.int32)[place] if len(ids) else np.zeros(len(b), np.int32)
-            yield b.assign(range_id=rid)
-
-    return run
-
-
-_OUT = "ref long, exists_then boolean, lives boolean, known boolean"
-
-
-def _probe(refs: pd.DataFrame, ranges: pd.DataFrame) -> pd.DataFrame:
-    """Binary search of a share of references in one range of parents."""
-    if not len(refs):
-        return pd.DataFrame({"ref": [], "exists_then": [], "lives": [], "known": []}).astype({"ref": "int64", "exists_then": bool, "lives": bool, "known": bool})
-    n = len(refs)
-    if not len(ranges):
-        none = np.zeros(n, bool)
-        return pd.DataFrame({"ref": refs["ref"].to_numpy(), "exists_then": none, "lives": none, "known": none})
-    r = ranges.iloc[0]
-    keys, starts, ends, lives = np.asarray(r["keys"], dtype=object), np.asarray(r["starts"]), np.asarray(r["ends"]), np.asarray(r["lives"])
-    uniq, first, code = np.unique(keys, return_index=True, return_inverse=True)
-    ref_keys = refs["key"].fillna("").astype(str).to_numpy(dtype=object)
-    at = refs["at"].fillna(-1).to_numpy(np.int64)
-    slot = np.searchsorted(uniq, ref_keys)
-    hit = (slot < len(uniq)) & (uniq[np.minimum(slot, len(uniq) - 1)] == ref_keys)
-    # position of the last parent of the key that does not start after the reference: a search among all
-    # (key code, start) ranks, references placed behind the parents of their own time
-    near = np.minimum(slot, len(uniq) - 1)
-    merged = np.lexsort((np.r_[np.zeros(len(keys)), np.ones(n)], np.r_[starts, at], np.r_[code, near]))
-    is_parent = merged < len(keys)
-    last_parent = np.maximum.accumulate(np.where(is_parent, merged, -1))
-    pos = np.empty(n, np.int64)
-    pos[merged[~is_parent] - len(keys)] = last_parent[~is_parent]
-    before = hit & (pos >= 0) & (code[np.maximum(pos, 0)] == near)
-    exists = before & (at >= 0) & (ends[np.maximum(pos, 0)] > at)
-    living = hit & lives[first[near]]
-    late = ~hit & (ref_keys == (r["next_key"] if r["next_key"] is not None else ""))
-    return pd.DataFrame({"ref": refs["ref"].to_numpy(), "exists_then": exists, "lives": living | (late & bool(r["next_lives"])), "known": hit | late})
-
-
-def probe(references: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(ref, exists_then, lives, known) for references (ref, key, at)."""
-    firsts = [(r["range_id"], r["first_key"], r["first_at"]) for r in ranges.select("range_id", "first_key", "first_at").orderBy("first_key", "first_at").collect()]
-    refs = references.mapInPandas(_searcher(firsts), "ref long, key string, at long, range_id int")
-    sizes = refs.groupBy("range_id").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / PER_SHARE).cast("int"))
-    salted = refs.join(F.broadcast(sizes.select("range_id", "shares")), "range_id").withColumn("share", F.pmod(F.xxhash64("ref"), F.col("shares")).cast("int"))
-    # a key may begin only in the following range: its first key travels along
-    following = Window.orderBy("range_id")  # one short row per range
-    heads = ranges.select("range_id", F.lead("first_key").over(following).alias("next_key"), F.lead(F.element_at("lives", 1)).over(following).alias("next_lives"))
-    held = ranges.join(F.broadcast(heads), "range_id").join(F.broadcast(sizes.select("range_id", "shares")), "range_id").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    left = salted.select("ref", "key", "at", "range_id", "share").groupBy("range_id", "share")
-    right = held.select("range_id", "share", "keys", "starts", "ends", "lives", "next_key", "next_lives").groupBy("range_id", "share")
-    return left.cogroup(right).applyInPandas(_probe, _OUT)
+_PROBED = "part int, ref long, at long, exists_then boolean, lives boolean, known boolean, open boolean, first_key string, last_key string, last_end long"
+_PROBED_ARROW = pa.schema(
+    [("part", pa.int32()), ("ref", pa.int64()), ("at", pa.int64())] + [(n, pa.bool_()) for n in ("exists_then", "lives", "known", "open")] + [("first_key", pa.string()), ("last_key", pa.string()), ("last_end", pa.int64())]
+)
+
+
+def _running_ends(code: np.ndarray, end: np.ndarray, first: int) -> np.ndarray:
+    """Latest end so far of each row's key, for sorted parents; ``first`` is what the first key had before."""
+    ranks, rank = np.unique(np.append(end, [first, -1]), return_inverse=True)
+    rank, before = rank[:-2], rank[-2]
+    rank = np.where(code == 0, np.maximum(rank, before), rank)
+    return ranks[np.maximum.accumulate(code * len(ranks) + rank) - code * len(ranks)]
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of rows (part, key, at, kind, end, ref), sorted by key, at and kind, batch by batch.
+
+    Per batch the parents are a sorted array and all references are found in it by one vectorised binary search;
+    of the key that goes on, the latest end travels to the next batch. A reference to a key that began in an
+    earlier range is left open, and the last row tells later ranges what they need to know of this one.
+    """
+    part, first_key, key = None, None, None
+    end_, lives_, known_, begun = -1, False, False, False
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        keys = b.column(1)
+        at, kind, end, ref = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4, 5))
+        head = keys[0].as_py()
+        if part is None:
+            part, first_key = b.column(0)[0].as_py(), head
+        elif head != key:
+            begun = True
+        if head != key:
+            end_, lives_, known_ = -1, False, False
+        new = np.zeros(n, bool)
+        new[1:] = ~pc.equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        code = np.cumsum(new)
+        lives, known = np.zeros(code[-1] + 1, bool), np.zeros(code[-1] + 1, bool)
+        lives[0], known[0] = lives_, known_
+        own = np.flatnonzero(kind == 0)
+        known[code[own]], lives[code[own]] = True, end[own] == _NEVER
+        parents, refs = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        ends = _running_ends(code[parents], end[parents], end_)
+        if len(refs):
+            near = np.searchsorted(parents, refs, side="right") - 1
+            hit = near >= 0
+            hit[hit] = code[parents[near[hit]]] == code[refs[hit]]
+            latest = np.where(code[refs] == 0, end_, -1)
+            latest[hit] = ends[near[hit]]
+            whole = known[code[refs]] | (code[refs] > 0) | begun
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(refs), part, np.int32)), pa.array(ref[refs].astype(np.int64)), pa.array(at[refs])]
+                + [pa.array(x) for x in (latest > at[refs], lives[code[refs]], known[code[refs]], ~whole)] + [pa.nulls(len(refs), pa.string())] * 2 + [pa.nulls(len(refs), pa.int64())],
+                schema=_PROBED_ARROW,
+            )
+        last = code[-1]
+        mine = np.flatnonzero(code[parents] == last)
+        end_ = int(ends[mine[-1]]) if len(mine) else end_ if last == 0 else -1
+        key, lives_, known_, begun = keys[n - 1].as_py(), bool(lives[last]), bool(known[last]), begun or last > 0
+    if part is not None:
+        yield pa.RecordBatch.from_pylist([{"part": part, "lives": lives_, "known": known_, "first_key": first_key, "last_key": key, "last_end": end_}], _PROBED_ARROW)
+
+
+def probe(references: DataFrame, parents: DataFrame) -> DataFrame:
+    """(ref, exists_then, lives, known) for references (ref, key, at) to parents (key, start, end); null ends never come.
+
+    Parents and references are range-partitioned together by (key, time), so no boundary leaves the executors and a
+    key that many refer to spreads over ranges. Each key also has a row of its own at its beginning, which tells
+    whether some parent of it lives on.
+    """
+    p = parents.select("key", F.coalesce("start", F.lit(_NEVER)).alias("at"), F.coalesce("end", F.lit(_NEVER)).alias("end")).distinct()
+    none = F.lit(None).cast("long").alias("ref")
+    own = p.groupBy("key").agg(F.max("end").alias("end")).select("key", F.lit(_KEY_ROW).alias("at"), F.lit(0).alias("kind"), "end", none)
+    rows = own.unionByName(p.select("key", "at", F.lit(1).alias("kind"), "end", none))
+    rows = rows.unionByName(references.select("key", F.coalesce("at", F.lit(_NO_TIME)).alias("at"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("end"), "ref"))
+    ranged = rows.repartitionByRange("key", "at", "kind", "ref").sortWithinPartitions("key", "at", "kind", "ref")
+    scanned = ranged.select(F.spark_partition_id().alias("part"), "key", "at", "kind", "end", "ref").mapInArrow(_probe, _PROBED)
+    probed = written(scanned, "probed")
+    # what is known of the key that a range begins with: one row per range
+    ranges = probed.where("ref is null")
+    so_far = Window.partitionBy("last_key").orderBy("part")
+    ranges = ranges.select("part", "first_key", "last_key", *(F.max(c).over(so_far).alias(c) for c in ("last_end", "lives", "known")))
+    before = Window.orderBy("part")
+    held = ranges.select("part", (F.lag("last_key").over(before) == F.col("first_key")).alias("same"), *(F.lag(c).over(before).alias(f"held_{c}") for c in ("last_end", "lives", "known"))).where("same")
+    done = probed.where("ref is not null and not open").select("ref", "exists_then", "lives", "known")
+    open_ = probed.where("ref is not null and open").join(F.broadcast(held), "part", "left").na.fill(False, ["held_lives", "held_known"])
+    return done.unionByName(open_.select("ref", (F.col("exists_then") | F.coalesce(F.col("held_last_end") > F.col("at"), F.lit(False))).alias("exists_then"), F.col("held_lives").alias("lives"), F.col("held_known").alias("known")))
 
 
 def orphans(fks: DataFrame, tables: DataFrame, shared: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def orphans(fks: DataFrame, tables: DataFrame, shared: DataFrame) -> DataFrame:
     reason: ``missing`` (no table of the name at all), ``late`` (none existed
     when the key was declared), ``dropped`` (it existed, none is left).
     """
-    t = tables.select("table_id", F.col("database_name").alias("db"), F.col("schema_name").alias("sch"), F.col("name").alias("tab"), "registered_at", "dropped_at").dropDuplicates(["table_id"])
+    t = shipped(tables).select("table_id", F.col("database_name").alias("db"), F.col("schema_name").alias("sch"), F.col("name").alias("tab"), "registered_at", "dropped_at").dropDuplicates(["table_id"])
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     span = (micros("registered_at").alias("start"), micros("dropped_at").alias("end"))
     own = t.where("tab is not null").select(key_of(F.col("db"), bare_name(F.col("sch")), bare_name(F.col("tab"))).alias("key"), *span)
@@ -160,7 +159,7 @@ def orphans(fks: DataFrame, tables: DataFrame, shared: DataFrame) -> DataFrame:
     at = F.unix_micros(F.col("declared_at").cast("timestamp")).alias("at")
     keys = f.where("n is not null").select(ref, key_of(F.coalesce("db", F.lit("\u0004")), F.col("s"), F.col("n")).alias("key"), at)
     keys = keys.unionByName(f.where("n is not null").select(ref, key_of(F.lit("\u0003"), F.col("s"), F.col("n")).alias("key"), at))
-    seen = probe(keys, parent_ranges(own.unionByName(everywhere))).groupBy("ref").agg(F.max("exists_then").alias("then_"), F.max("lives").alias("lives"), F.max("known").alias("known"))
+    seen = probe(keys, own.unionByName(everywhere)).groupBy("ref").agg(F.max("exists_then").alias("then_"), F.max("lives").alias("lives"), F.max("known").alias("known"))
     judged = f.join(seen.withColumnRenamed("ref", "fk_id"), "fk_id", "left").na.fill(False, ["then_", "lives", "known"])
     reason = F.when(~F.col("known"), "missing").when(~F.col("then_"), "late").otherwise("dropped")
     return judged.where("not (then_ and lives)").select("fk_id", "table_id", "declared_at", reason.alias("reason"))
