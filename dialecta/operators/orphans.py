@@ -57,7 +57,7 @@ _PROBED_ARROW = pa.schema(
 
 def _running_ends(code: np.ndarray, end: np.ndarray, first: int) -> np.ndarray:
     """Latest end so far of each row's key, for sorted parents; ``first`` is what the first key had before."""
-    ranks, rank = np.unique(np.append(end, [first, -1]), return_inverse=True)
+    ranks, rank = np.unique(np.append(end, [first, _KEY_ROW]), return_inverse=True)
     rank, before = rank[:-2], rank[-2]
     rank = np.where(code == 0, np.maximum(rank, before), rank)
     return ranks[np.maximum.accumulate(code * len(ranks) + rank) - code * len(ranks)]
@@ -71,7 +71,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     earlier range is left open, and the last row tells later ranges what they need to know of this one.
     """
     part, first_key, key = None, None, None
-    end_, lives_, known_, begun = -1, False, False, False
+    end_, lives_, known_, begun = _KEY_ROW, False, False, False
     for b in batches:
         n = b.num_rows
         if not n:
@@ -84,7 +84,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elif head != key:
             begun = True
         if head != key:
-            end_, lives_, known_ = -1, False, False
+            end_, lives_, known_ = _KEY_ROW, False, False
         new = np.zeros(n, bool)
         new[1:] = ~pc.equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
         code = np.cumsum(new)
@@ -98,7 +98,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.searchsorted(parents, refs, side="right") - 1
             hit = near >= 0
             hit[hit] = code[parents[near[hit]]] == code[refs[hit]]
-            latest = np.where(code[refs] == 0, end_, -1)
+            latest = np.where(code[refs] == 0, end_, _KEY_ROW)
             latest[hit] = ends[near[hit]]
             whole = known[code[refs]] | (code[refs] > 0) | begun
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +108,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         last = code[-1]
         mine = np.flatnonzero(code[parents] == last)
-        end_ = int(ends[mine[-1]]) if len(mine) else end_ if last == 0 else -1
+        end_ = int(ends[mine[-1]]) if len(mine) else end_ if last == 0 else _KEY_ROW
         key, lives_, known_, begun = keys[n - 1].as_py(), bool(lives[last]), bool(known[last]), begun or last > 0
     if part is not None:
         yield pa.RecordBatch.from_pylist([{"part": part, "lives": lives_, "known": known_, "first_key": first_key, "last_key": key, "last_end": end_}], _PROBED_ARROW)
