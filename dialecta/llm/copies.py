@@ -1,9 +1,11 @@
 """Problem 6: duplicates hidden by formatting differences.
 
 Every record gets the digest of its copy form (``textforms.copy_form``).
-Partial counts per key are exact and combined on the map side; keys that are
-hot are found from these counts and aggregated in two levels over salts, all
-other keys in one. The representative is the smallest id.
+Hot keys are detected first, exactly, from counts that are combined on the map
+side; their list has at most ``MAX_HOT`` rows and is broadcast. Hot keys are
+aggregated in two levels over salts and their records find the representative
+by the broadcast, all other keys take one shuffle. The representative is the
+smallest id.
 
 Defined results: a null text belongs to no group; texts without any word (the
 empty text among them) are one group; a record delivered twice (same id)
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from dialecta.llm.textforms import copy_form, digest
-from dialecta.tables import written
+from dialecta.tables import shipped, written
+
+MAX_HOT = 1_000
 
 _KEYED = StructType([StructField("rid", LongType()), StructField("ckey", BinaryType())])
 
@@ -33,40 +37,43 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def copy_keys(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, ckey) for every record with a text."""
-    base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("txt"))
+    base = shipped(df).select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("txt"))
     return base.where("rid is not null and txt is not null").mapInArrow(_digests, _KEYED)
 
 
+def _marked(keyed: DataFrame, hot: int) -> DataFrame:
+    """``keyed`` with ``is_hot``: exact counts per key from partial ones tell the keys of more than ``hot`` records.
+
+    The limit rises with the number of records, so at most ``MAX_HOT`` keys are hot and their list can be broadcast;
+    no record is shuffled.
+    """
+    limit = max(hot, keyed.count() // MAX_HOT)
+    hot_keys = keyed.groupBy("ckey").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("ckey", F.lit(True).alias("is_hot"))
+    return keyed.join(F.broadcast(hot_keys), "ckey", "left").na.fill(False, ["is_hot"])
+
+
+def _firsts(marked: DataFrame, salts: int) -> tuple[DataFrame, DataFrame]:
+    """(ckey, id_first, n) of the hot keys, in two levels over salts, and of all others, in one."""
+    salt = F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("salt")
+    part = marked.where("is_hot").groupBy("ckey", salt).agg(F.count("*").alias("c"), F.min("rid").alias("m"))
+    hot = part.groupBy("ckey").agg(F.min("m").alias("id_first"), F.sum("c").alias("n"))
+    return hot, marked.where("not is_hot").groupBy("ckey").agg(F.min("rid").alias("id_first"), F.count("*").alias("n"))
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return written(copy_keys(df, id_col, text_col).distinct(), "copy-keys")  # the texts are lexed once
+
+
 def copy_groups(df: DataFrame, id_col: str, text_col: str, hot: int = 20_000, salts: int = 64) -> DataFrame:
     """(id_first, id_copy), one row per further copy of a group of two or more."""
-    keyed = written(copy_keys(df, id_col, text_col).distinct(), "copy-keys")  # the texts are lexed once
-    firsts = _firsts(keyed, hot, salts).where("n > 1")
-    salt = F.pmod(F.xxhash64("rid"), F.col("n_salts")).cast("int")
-    # the few rows of each salt of a hot key meet their own copy of the group's row
-    groups = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
-    hot_keys = firsts.where("n_salts > 1").select("ckey", "n_salts")
-    members = keyed.join(hot_keys, "ckey", "left").withColumn("n_salts", F.coalesce("n_salts", F.lit(1))).withColumn("salt", salt)
-    return (
-        members.select("ckey", "salt", "rid").join(groups.select("ckey", "salt", "id_first"), ["ckey", "salt"])
-        .where("rid <> id_first").select("id_first", F.col("rid").alias("id_copy"))
-    )
-
-
-def _firsts(keyed: DataFrame, hot: int, salts: int) -> DataFrame:
-    """(ckey, id_first, n, n_salts): counts in two levels.
-
-    The first level groups by (key, salt) after the map-side combine, so no
-    task ever holds more than one salt of a hot key; the second level adds at
-    most ``salts`` partial rows per key.
-    """
-    part = keyed.groupBy("ckey", F.pmod(F.xxhash64("rid"), F.lit(salts)).alias("s")).agg(F.count("*").alias("c"), F.min("rid").alias("m"))
-    return (
-        part.groupBy("ckey").agg(F.min("m").alias("id_first"), F.sum("c").alias("n"))
-        .withColumn("n_salts", F.when(F.col("n") > hot, F.lit(salts)).otherwise(F.lit(1)))
-    )
+    marked = _marked(_keyed(df, id_col, text_col), hot)
+    hot_firsts, firsts = _firsts(marked, salts)
+    rest = marked.where("not is_hot").join(firsts.where("n > 1"), "ckey")
+    both = rest.unionByName(marked.where("is_hot").join(F.broadcast(hot_firsts), "ckey"))  # at most MAX_HOT rows
+    return both.where("rid <> id_first").select("id_first", F.col("rid").alias("id_copy"))
 
 
-def collapsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def collapsed(df: DataFrame, id_col: str, text_col: str, hot: int = 20_000, salts: int = 64) -> DataFrame:
     """(id_first, n_copies): one row per distinct record with its number of copies."""
-    keyed = copy_keys(df, id_col, text_col).distinct()
-    return _firsts(keyed, 20_000, 64).select("id_first", F.col("n").alias("n_copies"))
+    hot_firsts, firsts = _firsts(_marked(_keyed(df, id_col, text_col), hot), salts)
+    return hot_firsts.unionByName(firsts).select("id_first", F.col("n").alias("n_copies"))
