@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialecta.tables import shipped, written
+
 _RUNS = "part int, field string, term string, lo long, hi long, lo_row long, hi_row long, n_rows long, n_records long"
 _SCHEMA = pa.schema([("part", pa.int32()), ("field", pa.string()), ("term", pa.string())] + [(c, pa.int64()) for c in ("lo", "hi", "lo_row", "hi_row", "n_rows", "n_records")])
 
@@ -86,7 +88,7 @@ def frequencies(df: DataFrame, record_col: str, row_col: str, fields: list[str],
     row = F.coalesce(F.col(row_col).cast("long"), F.monotonically_increasing_id() + F.lit(1 << 60))
     terms = F.array(F.struct(F.lit("*").alias("field"), F.lit("").alias("term")), *(F.struct(F.lit(f).alias("field"), term_of(f).alias("term")) for f in fields))
     triples = (
-        df.select(rec.alias("rec"), row.alias("row"), F.explode(terms).alias("t"))
+        shipped(df).select(rec.alias("rec"), row.alias("row"), F.explode(terms).alias("t"))
         .select(F.col("t.field").alias("field"), F.col("t.term").alias("term"), "rec", "row").where("term is not null")
         .repartitionByRange("field", "term", "rec", "row").sortWithinPartitions("field", "term", "rec", "row")
     )
@@ -96,8 +98,8 @@ def frequencies(df: DataFrame, record_col: str, row_col: str, fields: list[str],
     cut = F.lag("hi").over(w) == F.col("lo")
     joined = runs.withColumn("twice", (cut & (F.col("lo") >= 0)).cast("long"))
     sums = joined.groupBy("field", "term").agg(F.sum("n_rows").alias("n_occurrences"), (F.sum("n_records") - F.coalesce(F.sum("twice"), F.lit(0))).alias("n_records"))
-    keyed = sums.withColumn("scope", F.lit("all"))
-    total = keyed.where("field = '*'").select("scope", F.col("n_records").alias("total"))  # one row
-    counted = keyed.where("field <> '*'").join(F.broadcast(total), "scope")
-    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > F.col("total") * common_above, "common")
+    sums = written(sums, "term-counts")  # one scan of the runs gives the terms and the total
+    total = sums.where("field = '*'").agg(F.coalesce(F.max("n_records"), F.lit(0))).first()[0]
+    mark = F.when(F.col("n_records") < rare_below, "rare").when(F.col("n_records") > F.lit(total * common_above), "common")
+    counted = sums.where("field <> '*'")
     return counted.select(F.col("field").alias("field_name"), F.col("term").alias("field_value"), "n_occurrences", "n_records", mark.alias("mark"))
