@@ -1,7 +1,7 @@
 """Problem 8: mixing sources to target weights.
 
-Hierarchical budgeting over a tree of groups (domain, language, source). Every
-node's weight is its share of its parent; the budget flows down, a node takes
+Hierarchical budgeting over a tree of groups (domain, language, source; see
+``budget``). Every node's weight is its share of its parent; the budget flows down, a node takes
 at most ``repeats x size`` of its leaves, and what it cannot take goes first to
 its siblings in proportion to their weights, only then to the siblings of its
 ancestors. Each leaf is filled from seeded epochs: all of its records as often
@@ -37,14 +37,27 @@ class Node:
     weight: float
     most: float = 0.0
     children: list["Node"] = field(default_factory=list)
+    key: tuple[str, str] | None = None  # (source, language) of a leaf
     given: float = 0.0
+    asked: float = 0.0  # its own part of the budget, before shortages of others are passed on
+
+    @property
+    def short(self) -> bool:
+        return self.capacity() < self.asked
 
     def capacity(self) -> float:
         return sum(c.capacity() for c in self.children) if self.children else self.most
 
 
 def distribute(node: Node, budget: float) -> float:
-    """Gives the budget to the node's leaves; returns what could not be placed."""
+    """Gives the budget to the node's leaves; returns what could not be placed.
+
+    Every child is asked for its share first. What a child cannot take goes to the other children by their
+    weights; what none of them can take is the caller's, that is the node's siblings'.
+    """
+    weights = sum(c.weight for c in node.children)
+    for c in node.children:
+        c.asked = budget * c.weight / weights if weights else 0.0
     if not node.children:
         node.given = min(budget, node.most)
         return budget - node.given
@@ -77,21 +90,42 @@ def sized(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col:
     return written(token_counts(mine, "rid", "txt", "source", "lang", tokenizer=tokenizer), "mix-sizes")
 
 
-def budget(sizes: DataFrame, targets: DataFrame) -> tuple[Node, int]:
-    """The filled tree and the total number of tokens to mix."""
-    leaves = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()  # one row per leaf
+def budget(sizes: DataFrame, targets: DataFrame, weights: DataFrame | None = None, smoothing: float = 0.5) -> tuple[Node, int]:
+    """The filled tree domain - language - source and the total number of tokens to mix.
+
+    ``weights`` (domain, lang, source, weight) states what each leaf should contribute; a node weighs what its leaves
+    do. Without it every source is a domain of its own with its target share, and its languages weigh their tokens to
+    the power of ``smoothing``, so that small languages are asked for more than they hold, run out of repeats, and
+    leave their shortage to the other languages of the source before any other source.
+    """
+    rows = sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()  # one row per leaf
+    have = {(r["source"], r["lang"]): r["n"] for r in rows}
     wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
-    total = sum(r["n"] for r in leaves)
+    total = sum(have.values())
     root = Node("all", 1.0)
-    for source, (share, repeats) in sorted(wanted.items()):
-        own = [r for r in leaves if r["source"] == source]
-        mine = Node(source, share)
-        mine.children = [Node(r["lang"], float(r["n"]), float(r["n"]) * repeats) for r in sorted(own, key=lambda r: r["lang"])]
-        root.children.append(mine)
+    if weights is not None:
+        for r in sorted(weights.collect(), key=lambda r: (r["domain"], r["lang"], r["source"])):
+            node = root
+            for name in (r["domain"], r["lang"]):
+                child = next((c for c in node.children if c.name == name), None)
+                if child is None:
+                    child = Node(name, 0.0)
+                    node.children.append(child)
+                child.weight += r["weight"]
+                node = child
+            node.children.append(Node(r["source"], r["weight"], float(have.get((r["source"], r["lang"]), 0)) * wanted.get(r["source"], (0, 1))[1], key=(r["source"], r["lang"])))
+    else:
+        for source, (share, repeats) in sorted(wanted.items()):
+            own = sorted((lang, n) for (s, lang), n in have.items() if s == source)
+            root.children.append(Node(source, share, children=[Node(lang, float(n) ** smoothing, float(n) * repeats, key=(source, lang)) for lang, n in own]))
     distribute(root, float(total))
     return root, total
 
 
+def leaves(node: Node) -> list[Node]:
+    return [x for c in node.children for x in leaves(c)] if node.children else [node]
+
+
 def report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, n_tokens, reachable, planned_tokens, planned_share, short): one row per target."""
     root, total = budget(sizes, targets)
@@ -102,24 +136,25 @@ def report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     for c in root.children:
         n = have.get(c.name, 0)
         reachable = n * repeats[c.name]
-        rows.append((c.name, c.weight, repeats[c.name], n, reachable, int(c.given), c.given / root.given if root.given else 0.0, reachable < c.weight * total))
+        short = c.short or not c.children and c.weight > 0
+        rows.append((c.name, c.weight, repeats[c.name], n, reachable, int(c.given), c.given / root.given if root.given else 0.0, short))
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int, n_tokens long, reachable long, planned_tokens long, planned_share double, short boolean")
 
 
-def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
+def mixed(sizes: DataFrame, targets: DataFrame, seed: int = 17, weights: DataFrame | None = None) -> DataFrame:
     """(rid, source, lang, n_tokens, uses): how often each record is used; records of no use are left out."""
     spark = sizes.sparkSession
-    root, _ = budget(sizes, targets)
+    root, _ = budget(sizes, targets, weights)
     per_leaf = {(r["source"], r["lang"]): r["n"] for r in sizes.groupBy("source", "lang").agg(F.sum("n_tokens").alias("n")).collect()}
     rows = []
-    for s in root.children:
-        for leaf in s.children:
-            n = per_leaf[s.name, leaf.name]
-            epochs = int(leaf.given // n) if n else 0
-            rows.append((s.name, leaf.name, epochs, int(leaf.given - epochs * n)))
-    leaves = F.broadcast(spark.createDataFrame(rows, "source string, lang string, epochs int, border long"))  # one row per leaf
+    for leaf in leaves(root):
+        n = per_leaf.get(leaf.key, 0)
+        epochs = int(leaf.given // n) if n else 0
+        if n:
+            rows.append((*leaf.key, epochs, int(leaf.given - epochs * n)))
+    plan = F.broadcast(spark.createDataFrame(rows, "source string, lang string, epochs int, border long"))  # one row per leaf
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("rid"))
-    placed = sizes.join(leaves, ["source", "lang"]).withColumn("h", order).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int"))
+    placed = sizes.join(plan, ["source", "lang"]).withColumn("h", order).withColumn("bucket", F.pmod(F.shiftright("h", 40), F.lit(BUCKETS)).cast("int"))
     sums = placed.groupBy("source", "lang", "bucket").agg(F.sum("n_tokens").alias("s"))
     upto = Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows
     begin = sums.withColumn("begin", F.coalesce(F.sum("s").over(upto), F.lit(0)))

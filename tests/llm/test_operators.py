@@ -187,6 +187,29 @@ def test_places_hold_at_any_length_and_rank():
         assert where[x, rank] == row[3] + (rank - row[1]) // row[2]
 
 
+def test_mixing_by_domain_language_and_source(spark):
+    rows = [(i, "token " * 9, lang, src) for i, (lang, src) in enumerate([("en", "web")] * 80 + [("de", "web")] * 4 + [("en", "books")] * 10 + [("de", "books")] * 30)]
+    df = spark.createDataFrame(rows, "id long, body string, lang string, src string")
+    targets = spark.createDataFrame([("web", 0.5, 2), ("books", 0.5, 2)], "source string, target_share double, max_repeats int")
+    sizes = mixing.sized(df, "id", "body", "lang", "src", targets)
+    n = sizes.first().n_tokens
+    # German web text is short: the rest of the German share stays with German books before it goes to English
+    weights = spark.createDataFrame([("d", "de", "web", 0.4), ("d", "de", "books", 0.1), ("d", "en", "web", 0.4), ("d", "en", "books", 0.1)], "domain string, lang string, source string, weight double")
+    root, total = mixing.budget(sizes, targets, weights)
+    given = {x.key: x.given / n for x in mixing.leaves(root)}
+    assert total == 124 * n and given["web", "de"] == 8 and abs(given["books", "de"] - 54) < 1e-6 and abs(given["web", "en"] + given["books", "en"] - 62) < 1e-6
+    assert {x.key for x in mixing.leaves(root) if x.short} == {("web", "de")}
+    used = {}
+    for r in mixing.mixed(sizes, targets, weights=weights).collect():
+        used[r.source, r.lang] = used.get((r.source, r.lang), 0) + r.uses
+    assert used == {("web", "de"): 8, ("books", "de"): 54, ("web", "en"): 49, ("books", "en"): 12}
+    # without weights the languages of a source make up for each other
+    root, _ = mixing.budget(sizes, targets)
+    web = next(c for c in root.children if c.name == "web")
+    de = next(c for c in web.children if c.name == "de")
+    assert de.short and de.given / n == 8 and not web.short and abs(web.given / n - 62) < 1e-6
+
+
 def test_mixing(spark, docs):
     targets = spark.createDataFrame([("a", 0.6, 2), ("b", 0.3, 3), ("c", 0.05, 1), ("none", 0.05, 4)], "source string, target_share double, max_repeats int")
     sizes = mixing.sized(docs, "id", "body", "lang", "src", targets)
