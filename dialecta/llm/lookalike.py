@@ -1,9 +1,11 @@
 """Problem 5: visually identical text with different characters.
 
-Method: normalisation quick check. Texts of printable ASCII are canonical and
-never leave the JVM; only texts with an unstable character go to Python, where
-the unstable segments (with one character of context) are normalised and
-spliced back (``textforms.canonical_glyphs``).
+Method: normalisation quick check. A character is stable if it is its own
+canonical form and no neighbour can join it (``textforms``); texts of stable
+characters, in whatever script, are canonical and never leave the JVM. Only
+texts with an unstable character go to Python, where the unstable segments
+(with one character of context) are normalised and spliced back. Digests are
+stored once; texts are read once.
 
 Defined results: a null text has a null canonical form and takes part in no
 class or pair; an empty text is a text like any other; a record delivered
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from dialecta.llm.textforms import UNSTABLE_CHAR, canonical_glyphs
+from dialecta.tables import shipped, written
 
 
 @F.pandas_udf(StringType())
@@ -33,14 +36,11 @@ def canonical_text(text: Column) -> Column:
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, shown, exact): 128-bit digests of the canonical and of the exact text; one row per id."""
-    base = df.select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt")).where("rid is not null and txt is not null")
-    stable = base.where(~F.col("txt").rlike(UNSTABLE_CHAR)).select("rid", F.md5("txt").alias("exact")).withColumn("shown", F.col("exact"))
-    unstable = (
-        base.where(F.col("txt").rlike(UNSTABLE_CHAR))
-        .select("rid", F.md5("txt").alias("exact"), F.md5(_spliced("txt")).alias("shown"))
-    )
-    both = stable.select("rid", "shown", "exact").unionByName(unstable.select("rid", "shown", "exact"))
-    return both.select("rid", F.unhex("shown").alias("shown"), F.unhex("exact").alias("exact")).distinct()
+    base = shipped(df).select(F.col(id_col).alias("rid"), F.col(text_col).alias("txt")).where("rid is not null and txt is not null")
+    digests = base.select("rid", F.col("txt").rlike(UNSTABLE_CHAR).alias("unstable"), F.md5("txt").alias("exact"), "txt")
+    stable = digests.where("not unstable").select("rid", F.col("exact").alias("shown"), "exact")
+    unstable = digests.where("unstable").select("rid", F.md5(_spliced("txt")).alias("shown"), "exact")
+    return written(stable.unionByName(unstable).select("rid", F.unhex("shown").alias("shown"), F.unhex("exact").alias("exact")).distinct(), "looks")
 
 
 def lookalike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -83,7 +83,7 @@ def lookalike_pairs(df: DataFrame, id_col: str, text_col: str, hot: int = 2000,
 def canonical_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(record_id, canonical, changed) for every record, ids once."""
     return (
-        df.select(F.col(id_col).alias("record_id"), F.col(text_col).alias("txt"))
+        shipped(df).select(F.col(id_col).alias("record_id"), F.col(text_col).alias("txt"))
         .select("record_id", canonical_text(F.col("txt")).alias("canonical"), "txt")
         .select("record_id", "canonical", (~F.col("txt").eqNullSafe(F.col("canonical"))).alias("changed"))
         .dropDuplicates(["record_id"])

@@ -22,8 +22,19 @@ LOOKALIKE_LETTERS = {
     # Greek
     "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
     "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "ρ": "p", "Ӏ": "I",
     # Armenian, and Latin letters outside the basic alphabet
-    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ɡ": "g", "ɑ": "a",
+    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "ո": "n", "ɡ": "g", "ɑ": "a",
+    # Coptic
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲥ": "c",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Roman numerals of one letter
+    "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
+    # punctuation
+    "‐": "-", "‑": "-", "−": "-", "⁄": "/", "∕": "/", "∗": "*", "∶": ":", "․": ".", "ǀ": "|", "∣": "|",
 }
 
 #: Blanks of every width; each stands for one ordinary blank.
@@ -54,15 +65,38 @@ def _glyph_table() -> dict[int, str]:
 
 _GLYPHS = _glyph_table()
 
-#: Quick check: a text without such a character is already in canonical form (Java and Python regex).
-UNSTABLE_CHAR = r"[^\t\n\u000b\u000c\r\x20-\x7e]"
-#: An unstable segment together with the one stable character before it, which a combining mark may join.
-_UNSTABLE_SEGMENT = re.compile("[\x20-\x7e]?[^\t\n\x0b\x0c\r\x20-\x7e]+")
+def _canonical(s: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_GLYPHS))
+
+
+def _unstable_ranges() -> list[tuple[int, int]]:
+    """Characters that fail the quick check, as ranges: those whose own canonical form is another, and those that a
+    neighbour may join (marks, and the conjoining letters of Hangul). Planes above the basic one are few in texts
+    and always looked at."""
+    out: list[tuple[int, int]] = []
+    for c in range(0x7F, 0x10000):
+        if 0xAC00 <= c < 0xD7A4 or 0xD800 <= c < 0xE000:  # Hangul syllables are stable; surrogates stand for higher planes
+            bad = c >= 0xD800
+        else:
+            x = chr(c)
+            bad = unicodedata.category(x)[0] == "M" or 0x1100 <= c < 0x1200 or _canonical(x) != x
+        if bad:
+            if out and out[-1][1] == c - 1:
+                out[-1] = (out[-1][0], c)
+            else:
+                out.append((c, c))
+    return out
 
 
-def _canonical_segment(m: re.Match) -> str:
-    s = unicodedata.normalize("NFD", m.group(0)).translate(_GLYPHS)
-    return unicodedata.normalize("NFC", s)
+def _class(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\u{a:04x}" if a == b else f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges)
+
+
+_UNSTABLE = r"\x00-\x08\x0e-\x1f" + _class(_unstable_ranges())
+#: Quick check (Java): a text without such a character is already in canonical form. Java sees higher planes as whole characters.
+UNSTABLE_CHAR = "[" + _UNSTABLE.replace("\\ud800-\\udfff", "") + r"\x{10000}-\x{10ffff}]"
+#: An unstable segment together with the one stable character before it, which a combining mark may join.
+_UNSTABLE_SEGMENT = re.compile(f"[^{_UNSTABLE}\U00010000-\U0010ffff]?[{_UNSTABLE}\U00010000-\U0010ffff]+")
 
 
 def canonical_glyphs(text: str) -> str:
@@ -71,7 +105,7 @@ def canonical_glyphs(text: str) -> str:
     Only unstable segments are normalised and spliced back; the stable rest
     is copied unchanged. Runs are idempotent.
     """
-    return text if text.isascii() and text.isprintable() else _UNSTABLE_SEGMENT.sub(_canonical_segment, text)
+    return text if text.isascii() and text.isprintable() else _UNSTABLE_SEGMENT.sub(lambda m: _canonical(m.group(0)), text)
 
 
 _KEEP_APART = {0x212A: "", 0x212B: "", 0x2126: ""}  # lower() would merge them with k, å, ω

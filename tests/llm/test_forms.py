@@ -13,7 +13,7 @@ from dialecta.llm.packing import plan
 from dialecta.llm.textforms import canonical_glyphs, copy_form, word_set
 
 
-@pytest.mark.parametrize("a,b", [("ＳＥＬＥＣＴ", "SELECT"), ("a b", "a b"), ("ñ", "ñ"), ("с​at", "cat"), ("ﬁx", "fix"), ("﻿x", "x"), ("so­ft", "soft"), ("a　b", "a b"), ("Ｋ", "K"), ("a，b", "a,b")])
+@pytest.mark.parametrize("a,b", [("ＳＥＬＥＣＴ", "SELECT"), ("a b", "a b"), ("ñ", "ñ"), ("с​at", "cat"), ("ﬁx", "fix"), ("﻿x", "x"), ("so­ft", "soft"), ("a　b", "a b"), ("Ｋ", "K"), ("a，b", "a,b"), ("ꓢꓰꓡꓰꓚꓔ", "SELECT"), ("Ⅿ‑Ⲟ", "M-O"), ("Ꮪ∕ᎪӀ", "S/AI")])
 def test_looks_the_same(a, b):
     assert canonical_glyphs(a) == canonical_glyphs(b)
 
@@ -30,6 +30,26 @@ def test_canonical_is_idempotent(s):
     assert canonical_glyphs(once) == once
 
 
+@given(st.text(alphabet="ab üé你가각\u0301\u0327\u0308\u00adаеⅠꓐ‑\u200b\U0001d400ｱﾞがか\u3099", max_size=24))
+@settings(max_examples=500, deadline=None)
+def test_splicing_segments_equals_normalising_the_whole(s):
+    from dialecta.llm.textforms import _canonical
+
+    assert canonical_glyphs(s) == _canonical(s)
+
+
+def test_quick_check_passes_right_text_of_any_script():
+    import re
+
+    from dialecta.llm.textforms import UNSTABLE_CHAR
+
+    check = re.compile(UNSTABLE_CHAR.replace(r"\x{10000}-\x{10ffff}", "\U00010000-\U0010ffff"))
+    for s in ("Größe über naïve", "数据库迁移", "データ", "한국어", "select *\n\tfrom t", "żółć"):
+        assert not check.search(s) and canonical_glyphs(s) == s
+    for s in ("a\u0301", "ｓ", "а", "\u00a0", "\u200b"):
+        assert check.search(s)
+
+
 @pytest.mark.parametrize("a,b", [
     ("CREATE TABLE t (a INT, b DECIMAL(18,2))", 'create table "T" (\n b decimal(18,2)\n , a int\n);'),
     ("SELECT a, COALESCE(b, 1) AS c FROM t WHERE x = 1", "select coalesce(b,1) as c, a from t where x=1;"),
