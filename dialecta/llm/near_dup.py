@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialecta.llm.textforms import canonical_glyphs, copy_form, digest, word_set
-from dialecta.tables import written
+from dialecta.tables import shipped, written
 
 ORDER_BITS = 18
 MAX_SIGNATURES = 16
@@ -51,6 +51,8 @@ RARE = 2_000
 #: A prefix feature with a larger count is no signature of its own: it is joined with each later feature of the
 #: prefix that is longer by one, as similar sets share two features of those.
 HOT = 3_000
+#: Records of one feature set beyond which they are spread over salts when pairs are listed.
+CROWD, CROWD_SALTS = 2_000, 32
 
 _FEATURES = "rid long, codes array<int>, skey binary, ckey binary, gkey binary"
 _FEATURES_ARROW = pa.schema([("rid", pa.int64()), ("codes", pa.list_(pa.int32())), ("skey", pa.binary()), ("ckey", pa.binary()), ("gkey", pa.binary())])
@@ -74,7 +76,7 @@ def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def text_features(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rid, codes, skey, ckey, gkey): word codes, and digests of the word set, copy form and canonical text."""
-    base = df.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("txt"))
+    base = shipped(df).select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("txt"))
     return base.where("rid is not null and txt is not null").mapInArrow(_text_features, _FEATURES)
 
 
@@ -219,7 +221,9 @@ def _counter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def similar_sets(sets: DataFrame, t: float, hot: int = HOT) -> DataFrame:
     """(ra, rb, similarity), ra < rb: all pairs of the given distinct sets (rid, codes) with Jaccard similarity >= t."""
-    spark = sets.sparkSession
+    spark = shipped(sets).sparkSession
+    if t <= 0.5:
+        hot = 1 << 62  # similar sets may share one feature only, so every prefix feature is a signature by itself
     counted = sets.select("rid", "codes").mapInArrow(_counter_rows, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).where("c > 1").toArrow()
     counts = np.ones(1 << ORDER_BITS, np.int32)
     counts[counted.column("bucket").to_numpy()] = np.minimum(counted.column("c").to_numpy(), 2**31 - 1)
@@ -259,12 +263,17 @@ def near_duplicate_pairs(features: DataFrame, t: float, hot: int = HOT) -> DataF
     """(id_a, id_b), id_a < id_b, of all similar records; copies of each other and look-alikes are left out."""
     sets, members = _sets_and_members(features)
     pairs = similar_sets(sets, t, hot).select("ra", "rb")
-    varied = members.groupBy("rep").agg(F.min("ckey").alias("lo"), F.max("ckey").alias("hi")).where("lo <> hi")
+    per_set = members.groupBy("rep").agg(F.min("ckey").alias("lo"), F.max("ckey").alias("hi"), F.count("*").alias("n"))
+    varied = per_set.where("lo <> hi")
     links = pairs.unionByName(varied.select(F.col("rep").alias("ra"), F.col("rep").alias("rb")))
-    a = members.select(F.col("rep").alias("ra"), F.col("rid").alias("xa"), F.col("ckey").alias("ca"), F.col("gkey").alias("ga"))
+    # the records of a set that many share are spread over salts; those they are paired with are repeated to each
+    many = per_set.where(F.col("n") > CROWD).select("rep", F.lit(CROWD_SALTS).alias("salts"))
+    spread_ = members.join(many, "rep", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    a = spread_.select(F.col("rep").alias("ra"), F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.col("rid").alias("xa"), F.col("ckey").alias("ca"), F.col("gkey").alias("ga"))
+    salted = links.join(many.withColumnRenamed("rep", "ra"), "ra", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
     b = members.select(F.col("rep").alias("rb"), F.col("rid").alias("xb"), F.col("ckey").alias("cb"), F.col("gkey").alias("gb"))
     return (
-        links.join(a, "ra").join(b, "rb").where("ca <> cb and ga <> gb and (ra <> rb or xa < xb)")
+        salted.select("ra", "rb", "salt").join(a, ["ra", "salt"]).join(b, "rb").where("ca <> cb and ga <> gb and (ra <> rb or xa < xb)")
         .select(F.least("xa", "xb").alias("id_a"), F.greatest("xa", "xb").alias("id_b"))
     )
 
@@ -273,21 +282,30 @@ def near_duplicate_groups(features: DataFrame, t: float) -> DataFrame:
     """(record_id, class_id, n_links): one row per record with a similar one.
 
     class_id is the smallest id of the connected class; n_links counts the
-    similar other feature sets and the records of the same set that are neither
-    copies nor look-alikes (by sums over the set's keys, no pair is emitted).
+    similar other feature sets that hold a record drawn differently, and the
+    records of the same set that are neither copies nor look-alikes (by sums
+    over the set's keys, no pair is emitted). A record has a row where
+    ``near_duplicate_pairs`` has a pair with it.
     """
     sets, members = _sets_and_members(features)
-    edges = written(similar_sets(sets, t).select("ra", "rb"), "edges")
-    labels = components(edges)
-    both = edges.select("ra").unionByName(edges.select(F.col("rb").alias("ra")))
-    degree = both.groupBy(F.col("ra").alias("rep")).agg(F.count("*").alias("n_links"))
-    classed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    looks = written(members.groupBy("rep").agg(F.min("gkey").alias("lo"), F.max("gkey").alias("hi")), "looks")
+    one = F.when(F.col("lo") == F.col("hi"), F.col("lo"))  # how all of a set's records are drawn, if alike
+    side = lambda r, g: looks.select(F.col("rep").alias(r), one.alias(g))
+    edges = similar_sets(sets, t).select("ra", "rb").join(side("ra", "ga"), "ra").join(side("rb", "gb"), "rb")
+    edges = written(edges.where(F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))), "edges")
+    labels = components(edges.select("ra", "rb"))
+    both = edges.select(F.col("ra").alias("rep"), F.col("gb").alias("gkey")).unionByName(edges.select(F.col("rb").alias("rep"), F.col("ga").alias("gkey")))
+    degree = both.groupBy("rep").agg(F.count("*").alias("n_sets"))
+    alike = both.where("gkey is not null").groupBy("rep", "gkey").agg(F.count("*").alias("n_alike"))
+    classed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").join(alike, ["rep", "gkey"], "left")
     cells = members.groupBy("rep", "ckey", "gkey").agg(F.count("*").alias("n_both"))
     alone, by_c, by_g = (cells.groupBy("rep", *k).agg(F.sum("n_both").alias(n)) for k, n in (((), "n_same"), (("ckey",), "n_c"), (("gkey",), "n_g")))
-    cells = cells.join(alone, "rep").join(by_c, ["rep", "ckey"]).join(by_g, ["rep", "gkey"]).select("rep", "ckey", "gkey", "n_same", F.expr("n_same - n_c - n_g + n_both").alias("n_varied"))
+    cells = cells.join(alone, "rep").join(by_c, ["rep", "ckey"]).join(by_g, ["rep", "gkey"]).select("rep", "ckey", "gkey", F.expr("n_same - n_c - n_g + n_both").alias("n_varied"))
+    zero = F.lit(0).cast("long")
+    n_links = F.coalesce("n_sets", zero) - F.coalesce("n_alike", zero) + F.col("n_varied")
     return (
-        classed.join(cells, ["rep", "ckey", "gkey"]).where("class_id is not null or n_same > 1")
-        .select(F.col("rid").alias("record_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n_links", F.lit(0).cast("long")) + F.col("n_varied")).alias("n_links"))
+        classed.join(cells, ["rep", "ckey", "gkey"])
+        .select(F.col("rid").alias("record_id"), F.coalesce("class_id", "rep").alias("class_id"), n_links.alias("n_links")).where("n_links > 0")
     )
 
 

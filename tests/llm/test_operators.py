@@ -65,8 +65,9 @@ def brute_pairs(rows, t):
     return out
 
 
-@pytest.mark.parametrize("t", [0.7, 0.8])
-def test_near_duplicates(spark, texts, empty, t):
+@pytest.mark.parametrize("t", [0.2, 0.5, 0.7, 0.8])
+def test_near_duplicates(spark, texts, empty, t, monkeypatch):
+    monkeypatch.setattr(near_dup, "CROWD", 2)
     r = random.Random(3)
     words = [f"w{i}" for i in range(60)]
     rows = distinct()
@@ -78,6 +79,8 @@ def test_near_duplicates(spark, texts, empty, t):
     for hot in (near_dup.HOT, 3):
         got = [tuple(x) for x in near_dup.near_duplicate_pairs(near_dup.text_features(df, "id", "body"), t, hot).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_pairs(rows, t) and got
+    linked = {x for p in brute_pairs(rows, t) for x in p}
+    assert {x.record_id for x in near_dup.near_duplicate_groups(near_dup.text_features(df, "id", "body"), t).collect()} == linked
     sets = df.select("id", F.split("body", " ").alias("e"))
     feats = near_dup.entry_features(sets, "id", F.col("e"))
     want = {(a, b) for a, s in rows for b, u in rows if a < b and len(set(s.split(" ")) & set(u.split(" "))) / len(set(s.split(" ")) | set(u.split(" "))) >= t}
