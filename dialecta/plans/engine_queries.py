@@ -93,6 +93,15 @@ def window_session(spark: SparkSession, d: str) -> DataFrame:
     return streaming.sessions(read_table(spark, d, "events"), "ts", "user_id", "6 hours", "1 day")
 
 
+@query("SELECT c_custkey, upper(left(c_mktsegment, 3)) || (c_nationkey + 1)::VARCHAR AS code FROM customer")
+def python_function(spark: SparkSession, d: str) -> DataFrame:
+    """A scalar function declared with a Python body, called from SQL."""
+    text = "CREATE FUNCTION code_of(s VARCHAR, k INT) RETURNS VARCHAR IMMUTABLE AS $$\n  return s[:3].upper() + str(k + 1)\n$$ LANGUAGE plpythonu"
+    spec = ddl.parse_script(text, "redshift")[0][1]
+    catalog.register_function(with_views(spark, d), spec, "redshift")
+    return run(spark, "SELECT c_custkey, code_of(c_mktsegment, c_nationkey) AS code FROM customer", "redshift")
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE upper(c_mktsegment) END AS label FROM customer")
 def sql_function(spark: SparkSession, d: str) -> DataFrame:
     """A scalar function declared in T-SQL, called from T-SQL."""

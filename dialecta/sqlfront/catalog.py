@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import inspect
 import re
+import textwrap
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dialecta.sqlfront.ddl import RoutineSpec, TableSpec, TriggerSpec, ViewSpec, parse_script
 from dialecta.sqlfront.dialects import dialect
@@ -63,6 +67,8 @@ def refresh(spark: SparkSession, spec: ViewSpec, source: str, location: str) ->
 def register_function(spark: SparkSession, spec: RoutineSpec, source: str) -> bool:
     """A scalar SQL function whose body is one expression or query, as a temporary SQL function; False for others."""
     d = dialect(source)
+    if (spec.language or "").lower() in ("python", "plpythonu", "plpython3u"):
+        return _register_python(spark, spec, source)
     if (spec.language or "sql").lower() not in ("sql", "plpgsql") or re.search(r"(?i)\b(declare|loop|if\s+.*then|while|insert|update|delete)\b", spec.body):
         return False
     m = re.match(r"(?is)^\s*(?:begin\s+)?(?:return\s+)?(.+?)\s*;?\s*(?:end\s*;?)?\s*$", spec.body)
@@ -89,23 +95,53 @@ def register_function(spark: SparkSession, spec: RoutineSpec, source: str) -> bo
     return True
 
 
+def _parameters(spec: RoutineSpec, source: str) -> list[tuple[str, T.DataType]]:
+    out = []
+    for p in filter(None, (x.strip() for x in re.split(r",(?![^(]*\))", spec.parameters))):
+        word, _, kind = p.partition(" ")
+        out.append((word.lstrip("@"), to_spark(parse_type(re.sub(r"(?i)^in\s+", "", kind.strip()), dialect(source)))))
+    return out
+
+
+def _register_python(spark: SparkSession, spec: RoutineSpec, source: str) -> bool:
+    """A scalar function in Python, run over Arrow batches: a body of statements, or one that defines its handler last.
+
+    Nulls are passed as None. The code is the script's own; whoever registers it runs it.
+    """
+    params = _parameters(spec, source)
+    body = inspect.cleandoc(spec.body)
+    defined = re.findall(r"(?m)^def\s+(\w+)", body)
+    code = body if defined else f"def handler({', '.join(n for n, _ in params)}):\n" + textwrap.indent(body.strip(), "    ")
+    name, whole = defined[-1] if defined else "handler", [isinstance(t, T.IntegralType) for _, t in params]
+
+    def run(*columns: pd.Series) -> pd.Series:
+        scope: dict = {}
+        exec(code, scope)  # noqa: S102 - the function's declared body
+        plain = lambda v, w: None if v is None or v != v else int(v) if w else v
+        return pd.Series([scope[name](*(plain(v, w) for v, w in zip(row, whole))) for row in zip(*columns)], dtype=object)
+
+    returns = to_spark(parse_type(re.sub(r"(?i)\s+(deterministic|immutable|stable|volatile)\s*$", "", spec.returns or ""), dialect(source)))
+    spark.udf.register(spec.name[-1], F.pandas_udf(run, returns))
+    return True
+
+
 def violations(spark: SparkSession, spec: TableSpec, data: DataFrame) -> DataFrame:
-    """(constraint, n_violations) of every declared constraint over the data: one aggregate or anti join each."""
+    """(constraint, n_violations) of every declared constraint over the data: one scan for all NOT NULL and CHECK, one aggregate or anti join for each other."""
     found: list[DataFrame] = []
+    per_row = [(f"not_null({c.name})", F.col(c.name).isNull()) for c in spec.columns if not c.nullable]
+    per_row += [(f"check({', '.join(k.columns) or k.expression})", F.expr(f"not coalesce({k.expression}, true)")) for k in spec.constraints if k.kind == "check"]
+    if per_row:
+        counts = data.agg(*(F.count_if(broken).alias(f"c{i}") for i, (_, broken) in enumerate(per_row)))
+        found.append(counts.select(F.inline(F.array(*(F.struct(F.lit(label).alias("constraint"), F.col(f"c{i}").alias("n_violations")) for i, (label, _) in enumerate(per_row))))))
 
     def add(label: str, df: DataFrame) -> None:
         found.append(df.agg(F.count("*").alias("n_violations")).select(F.lit(label).alias("constraint"), "n_violations"))
 
-    for c in spec.columns:
-        if not c.nullable:
-            add(f"not_null({c.name})", data.where(F.col(c.name).isNull()))
     for k in spec.constraints:
         label = f"{k.kind}({', '.join(k.columns) or k.expression})"
         if k.kind in ("primary_key", "unique"):
             full = data.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in k.columns)))
             add(label, full.groupBy(*k.columns).agg(F.count("*").alias("n")).where("n > 1"))
-        elif k.kind == "check":
-            add(label, data.where(f"not coalesce({k.expression}, true)"))
         elif k.kind == "foreign_key" and k.ref_table and spark.catalog.tableExists(k.ref_table[-1]):
             ref = spark.table(k.ref_table[-1]).select(*(F.col(r).alias(f"__{i}") for i, r in enumerate(k.ref_columns or k.columns))).distinct()
             on = [F.col(c) == F.col(f"__{i}") for i, c in enumerate(k.columns)]

@@ -427,6 +427,9 @@ def parse_routine(s: Statement, d: Dialect) -> RoutineSpec:
         if t.is_("AS", "IS", "BEGIN") and body_at is None:
             body_at = r.i + (0 if t.is_("BEGIN") else 1)
         r.i += 1
+    if d.tsql and g is None and body_at is not None and begin < body_at and items[begin].text.startswith("@"):  # parameters without brackets
+        stop = next((k for k in range(begin, body_at) if items[k].is_("WITH", "RETURNS")), body_at - items[body_at - 1].is_("AS", "IS"))
+        params = plain(items[begin:stop]).strip()
     body = items[body_at if body_at is not None else begin :]
     text = body[0].value if body and body[0].kind == STRING else plain(body).strip()
     return RoutineSpec(s.kind, name, params, text.strip(), returns, language)

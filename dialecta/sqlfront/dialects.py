@@ -45,5 +45,6 @@ def dialect(name: str) -> Dialect:
 
 
 def quoted(parts: list[str], d: Dialect) -> str:
+    """A qualified name in a dialect's quotes; variables of a script (${name}, {{name}}) stay as they are."""
     close = {"[": "]"}.get(d.quote, d.quote)
-    return ".".join(d.quote + p.replace(close, close * 2) + close for p in parts)
+    return ".".join(p if p[:2] in ("${", "{{") else d.quote + p.replace(close, close * 2) + close for p in parts)

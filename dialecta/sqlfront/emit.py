@@ -5,9 +5,9 @@ from __future__ import annotations
 from dialecta.sqlfront.ddl import Column, Constraint, RoutineSpec, TableSpec, TriggerSpec, ViewSpec
 from dialecta.sqlfront.dialects import SPARKISH, Dialect, dialect, quoted
 from dialecta.sqlfront.front import Finding
-from dialecta.sqlfront.lexer import tokens, tree
+from dialecta.sqlfront.lexer import plain, split_at, tokens, tree
 from dialecta.sqlfront.speak import Notes, expression, query_text
-from dialecta.sqlfront.types import spell
+from dialecta.sqlfront.types import UnknownType, parse_type, spell
 
 MAX_CLUSTER = 4
 
@@ -224,24 +224,87 @@ def emit_view(spec: ViewSpec, source: str, target: str, schema: str | None = Non
     return f"{word} {name}{cols}{extra} AS\n{body};", list(notes)
 
 
+_MODES = {"IN": "IN", "OUT": "OUT", "INOUT": "INOUT", "OUTPUT": "OUT", "READONLY": "IN"}
+
+
+def _parameter(items: list, source: Dialect) -> tuple[str, str, str, str]:
+    """(name, mode, type as written, default) of one parameter of any dialect."""
+    mode, name, written, default, into = "IN", "", [], [], None
+    for t in items:
+        if t.kind == "word" and t.upper in _MODES and into is not default:
+            mode = "INOUT" if mode == "OUT" and t.upper == "IN" or name and t.upper == "OUT" and any(x.is_("IN") for x in items) else _MODES[t.upper]
+        elif t.is_("DEFAULT") or t.kind == "op" and t.text in ("=", ":="):
+            into = default
+        elif into is default:
+            default.append(t)
+        elif not name and t.kind in ("word", "quoted"):
+            name = t.value.lstrip("@")
+        else:
+            written.append(t)
+    return name, mode, plain(written).strip(), plain(default).strip()
+
+
+def _typed(written: str, source: Dialect, target: Dialect, notes: Notes, bare: bool = False) -> str:
+    try:
+        text, more = spell(parse_type(written, source), target)
+    except (UnknownType, ValueError):
+        return written
+    for code, message in more:
+        notes.add(code, message)
+    if target.tsql and text in ("VARCHAR", "NVARCHAR"):
+        return f"{text}(8000)"  # without a length a parameter would hold one character
+    return text.partition("(")[0].strip() if bare else text
+
+
+def _parameters(text: str, kind: str, source: Dialect, target: Dialect, notes: Notes) -> str:
+    """A parameter list in the target's style; names keep their spelling but for T-SQL's @."""
+    out = []
+    for item in split_at(tree(tokens(text, source)), ","):
+        if not item:
+            continue
+        name, mode, written, default = _parameter(item, source)
+        typed = _typed(written, source, target, notes, bare=target.name == "oracle")
+        value = expression(tree(tokens(default, source)), source, target, notes).strip() if default else ""
+        if target.tsql:
+            out.append(f"@{name} {typed}" + (f" = {value}" if value else "") + (" OUTPUT" if mode != "IN" else ""))
+        elif target.name == "oracle":
+            out.append(f"{name} {'IN OUT' if mode == 'INOUT' else mode} {typed}" + (f" DEFAULT {value}" if value else ""))
+        elif target.name == "redshift":
+            out.append(f"{name} {mode} {typed}" if kind == "procedure" else f"{name} {typed}")
+            if value:
+                notes.add("PARAMETER_DEFAULT", f"parameter {name}: defaults are not supported")
+        elif target.name == "bigquery":
+            out.append(f"{mode + ' ' if kind == 'procedure' else ''}{name} {typed}")
+            if value:
+                notes.add("PARAMETER_DEFAULT", f"parameter {name}: defaults are not supported")
+        else:
+            lead = f"{mode} " if kind == "procedure" and target.name in SPARKISH else ""
+            out.append(f"{lead}{name} {typed}" + (f" DEFAULT {value}" if value else ""))
+            if mode != "IN" and target.name == "snowflake":
+                notes.add("PARAMETER_MODE", f"parameter {name}: return values of {mode} parameters from the procedure")
+    return ", ".join(out)
+
+
 def emit_routine(spec: RoutineSpec, source: str, target: str) -> tuple[str, list[Finding]]:
     """The frame of a routine for a target; bodies are carried over for review."""
-    t, notes = dialect(target), Notes()
+    s, t, notes = dialect(source), dialect(target), Notes()
     name = quoted(spec.name, t)
     notes.add(f"{spec.kind.upper()}_BODY_MANUAL", "the body was carried over; review it")
-    params = f"({spec.parameters})"
-    returns = f" RETURNS {spec.returns}" if spec.returns else ""
+    listed = spec.parameters if source == target else _parameters(spec.parameters, spec.kind, s, t, notes)
+    params = f"({listed})"
+    returned = spec.returns if source == target or not spec.returns or spec.returns.lower().startswith("table") else _typed(spec.returns, s, t, notes, bare=t.name == "oracle")
+    returns = f" RETURNS {returned}" if returned else ""
     if t.name == "redshift":
         return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}{returns}\nAS $$\n{spec.body}\n$$ LANGUAGE plpgsql;", list(notes)
     if t.name == "snowflake":
         return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}{returns or ' RETURNS VARCHAR'}\nLANGUAGE SQL AS $$\n{spec.body}\n$$;", list(notes)
     if t.name == "bigquery":
-        return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}\n{'AS' if spec.kind == 'function' else 'BEGIN'}\n{spec.body}\n{'' if spec.kind == 'function' else 'END'};", list(notes)
+        return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}{returns if spec.kind == 'function' else ''}\n{'AS' if spec.kind == 'function' else 'BEGIN'}\n{spec.body}\n{'' if spec.kind == 'function' else 'END'};", list(notes)
     if t.name == "oracle":
-        return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params if spec.parameters else ''}{returns.replace('RETURNS', 'RETURN')} AS\n{spec.body}\n/", list(notes)
+        return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params if listed else ''}{returns.replace('RETURNS', 'RETURN')} AS\n{spec.body}\n/", list(notes)
     if t.name in SPARKISH:
         return f"CREATE OR REPLACE {spec.kind.upper()} {name}{params}{returns}\n{'LANGUAGE SQL AS ' if spec.kind == 'procedure' else ''}{spec.body};", list(notes)
-    return f"CREATE {spec.kind.upper()} {name}{(' ' + spec.parameters) if spec.kind == 'procedure' else params}{returns} AS\n{spec.body};", list(notes)
+    return f"CREATE {spec.kind.upper()} {name}{(' ' + listed) if spec.kind == 'procedure' else params}{returns} AS\n{spec.body};", list(notes)
 
 
 def emit_trigger(spec: TriggerSpec, source: str, target: str) -> tuple[str, list[Finding]]:

@@ -302,3 +302,37 @@ def test_a_failing_rename_keeps_the_table(fails, kept):
     with pytest.raises(OSError):
         swap(lost, str, "/t.new", "/t")
     assert "old" in lost.names.values()
+
+
+def test_script_variables_are_names():
+    sql = "CREATE TABLE ${schema}.dim_x (a BIGINT, b VARCHAR(10)); SELECT a FROM ${schema}.dim_x; CREATE VIEW {{ env }}.v AS SELECT b FROM {{ env }}.t"
+    r = convert.convert(sql, "fabric_dw", "snowflake")
+    assert not [f for f in r.findings if f.severity == "error"] and '${schema}."dim_x"' in r.sql and "FROM ${schema}.dim_x" in r.sql and '{{ env }}."v"' in r.sql
+
+
+def test_findings_of_many_columns_are_one():
+    f = front.Finding
+    got = convert.merged([f("A", "info", "column x: gone"), f("A", "info", "column y: gone"), f("B", "info", "z"), f("B", "info", "z")])
+    assert [x.message for x in got] == ["columns x, y: gone", "z (repeated 2 times)"]
+    assert "data-types" in convert.reference(f("TYPE_JSON_FALLBACK", "warning", ""), "bigquery") and "functions" in convert.reference(f("UNKNOWN_FUNCTION_NVL", "warning", ""), "snowflake")
+
+
+@pytest.mark.parametrize("target,part", [
+    ("sqlserver", "[p] @a INT, @b VARCHAR(20) = 'x', @c DECIMAL(10,2) OUTPUT AS"), ("oracle", '"p"(a IN NUMBER, b IN VARCHAR2 DEFAULT \'x\', c OUT NUMBER)'), ("snowflake", '"p"(a INTEGER, b VARCHAR(20) DEFAULT \'x\', c NUMBER(10,2))'),
+    ("redshift", '"p"(a IN INTEGER, b IN VARCHAR(20), c OUT DECIMAL(10,2))'), ("bigquery", "`p`(IN a INT64, IN b STRING(20), OUT c NUMERIC(10,2))"), ("databricks", "`p`(IN a INT, IN b STRING DEFAULT 'x', OUT c DECIMAL(10,2))"),
+])
+def test_parameters_in_each_style(target, part):
+    sources = {
+        "sqlserver": "CREATE PROCEDURE p @a INT, @b VARCHAR(20) = 'x', @c DECIMAL(10,2) OUTPUT AS BEGIN SELECT 1; END",
+        "synapse": "CREATE PROCEDURE p @a INT, @b VARCHAR(20) = 'x', @c DECIMAL(10,2) OUTPUT AS BEGIN SELECT 1; END",
+    }
+    for source, sql in sources.items():
+        if source != target:
+            assert part in convert.convert(sql, source, target).sql, source
+
+
+def test_python_function_of_several_lines(spark):
+    body = "def helper(x):\n    return x * 2\ndef run(x):\n    if x is None:\n        return -1\n    return helper(x) + 1"
+    spec = ddl.parse_script(f"CREATE FUNCTION py_twice(x INT) RETURNS INT LANGUAGE PYTHON AS $$\n{body}\n$$", "snowflake")[0][1]
+    assert catalog.register_function(spark, spec, "snowflake")
+    assert [r.v for r in spark.sql("select py_twice(x) as v from values (1), (null), (4) as t(x)").collect()] == [3, -1, 9]
