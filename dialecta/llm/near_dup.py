@@ -52,7 +52,7 @@ RARE = 2_000
 #: prefix that is longer by one, as similar sets share two features of those.
 HOT = 3_000
 #: Records of one feature set beyond which they are spread over salts when pairs are listed.
-CROWD, CROWD_SALTS = 2_000, 32
+CROWD, CROWD_SALTS, MAX_CROWDS = 2_000, 32, 1_000
 
 _FEATURES = "rid long, codes array<int>, skey binary, ckey binary, gkey binary"
 _FEATURES_ARROW = pa.schema([("rid", pa.int64()), ("codes", pa.list_(pa.int32())), ("skey", pa.binary()), ("ckey", pa.binary()), ("gkey", pa.binary())])
@@ -252,22 +252,24 @@ def similar_sets(sets: DataFrame, t: float, hot: int = HOT) -> DataFrame:
 # --- records ----------------------------------------------------------------
 
 
-def _sets_and_members(features: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sets_and_members(features: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     kept = written(features.where("size(codes) > 0"), "features")
     sets = written(kept.groupBy("skey").agg(F.min("rid").alias("rid"), F.first("codes").alias("codes")), "sets")
     members = kept.select("rid", "skey", "ckey", "gkey").distinct().join(sets.select("skey", F.col("rid").alias("rep")), "skey")
-    return sets, members.select("rid", "rep", "ckey", "gkey")
+    return sets, members.select("rid", "rep", "ckey", "gkey"), kept.count()
 
 
 def near_duplicate_pairs(features: DataFrame, t: float, hot: int = HOT) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of all similar records; copies of each other and look-alikes are left out."""
-    sets, members = _sets_and_members(features)
+    sets, members, n_records = _sets_and_members(features)
     pairs = similar_sets(sets, t, hot).select("ra", "rb")
     per_set = members.groupBy("rep").agg(F.min("ckey").alias("lo"), F.max("ckey").alias("hi"), F.count("*").alias("n"))
     varied = per_set.where("lo <> hi")
     links = pairs.unionByName(varied.select(F.col("rep").alias("ra"), F.col("rep").alias("rb")))
-    # the records of a set that many share are spread over salts; those they are paired with are repeated to each
-    many = per_set.where(F.col("n") > CROWD).select("rep", F.lit(CROWD_SALTS).alias("salts"))
+    # the records of a set that many share are spread over salts; those they are paired with are repeated to each.
+    # Such sets are at most MAX_CROWDS, as the limit rises with the number of records.
+    limit = max(CROWD, n_records // MAX_CROWDS)
+    many = F.broadcast(written(per_set.where(F.col("n") > limit).select("rep", F.lit(CROWD_SALTS).alias("salts")), "crowds"))
     spread_ = members.join(many, "rep", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
     a = spread_.select(F.col("rep").alias("ra"), F.pmod(F.xxhash64("rid"), F.col("salts")).cast("int").alias("salt"), F.col("rid").alias("xa"), F.col("ckey").alias("ca"), F.col("gkey").alias("ga"))
     salted = links.join(many.withColumnRenamed("rep", "ra"), "ra", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
@@ -287,7 +289,7 @@ def near_duplicate_groups(features: DataFrame, t: float) -> DataFrame:
     over the set's keys, no pair is emitted). A record has a row where
     ``near_duplicate_pairs`` has a pair with it.
     """
-    sets, members = _sets_and_members(features)
+    sets, members, _ = _sets_and_members(features)
     looks = written(members.groupBy("rep").agg(F.min("gkey").alias("lo"), F.max("gkey").alias("hi")), "looks")
     one = F.when(F.col("lo") == F.col("hi"), F.col("lo"))  # how all of a set's records are drawn, if alike
     side = lambda r, g: looks.select(F.col("rep").alias(r), one.alias(g))
