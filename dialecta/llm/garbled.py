@@ -71,7 +71,8 @@ LEARNED = len(swaps())  # index of the reading with the learned letters
 ALL = 0xFFFFFF  # all languages together
 _CONTEXT, _SINGLE, _TOTAL = 0x110000, 0x110001, 0x110002
 _MASK = np.uint64((1 << BITS) - 1)
-_WORD = re.compile(r"[^\t-\r ]*[^\x00-\x7f][^\t-\r ]*")
+#: A run without blanks that holds a character outside ASCII; each run is tried once, from its beginning.
+_WORD = re.compile(r"(?<![^\t-\r ])[\x00-\x08\x0e-\x1f!-\x7f]*+[^\x00-\x7f][^\t-\r ]*+")
 REPLACEMENT = "�"
 _UTF8 = np.array([w == "utf-8" for w, _ in swaps()])
 
