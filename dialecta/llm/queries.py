@@ -176,8 +176,17 @@ QUERIES: dict[str, Query] = {
     )
 }
 
+#: Sizes in SQL are bytes by four: whether a document exceeds a container or a source its share is the same for any usual tokenizer.
+_P7_SQL = "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 4 * (SELECT capacity_tokens FROM container_specs ORDER BY spec_id LIMIT 1)"
+_P8_SQL = """
+WITH s AS (SELECT t.source, any_value(t.target_share) AS share, any_value(t.max_repeats) AS repeats, coalesce(sum(octet_length(encode(d.text))), 0) AS n
+           FROM mix_targets t LEFT JOIN documents d ON d.source = t.source GROUP BY t.source)
+SELECT source FROM s WHERE repeats * n < share * (SELECT sum(n) FROM s) OR n = 0"""
+
 #: The other queries have no SQL: DuckDB cannot express them; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
     "p1_frequencies": _P1_SQL,
     "p1_found": f"SELECT field_name, field_value FROM ({_P1_SQL}) WHERE mark IS NOT NULL",
+    "p7_found": _P7_SQL,
+    "p8_found": _P8_SQL,
 }
