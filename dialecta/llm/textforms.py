@@ -93,8 +93,9 @@ def _class(ranges: list[tuple[int, int]]) -> str:
 
 
 _UNSTABLE = r"\x00-\x08\x0e-\x1f" + _class(_unstable_ranges())
-#: Quick check (Java): a text without such a character is already in canonical form. Java sees higher planes as whole characters.
-UNSTABLE_CHAR = "[" + _UNSTABLE.replace("\\ud800-\\udfff", "") + r"\x{10000}-\x{10ffff}]"
+#: Quick check (Java): a text without such a character is already in canonical form. ASCII is told apart before the long
+#: class is looked through; Java sees higher planes as whole characters.
+UNSTABLE_CHAR = r"[\x00-\x08\x0e-\x1f]|[\x7f-\x{10ffff}&&[" + _class(_unstable_ranges()).replace("\\ud800-\\udfff", "") + r"\x{10000}-\x{10ffff}]]"
 #: An unstable segment together with the one stable character before it, which a combining mark may join.
 _UNSTABLE_SEGMENT = re.compile(f"[^{_UNSTABLE}\U00010000-\U0010ffff]?[{_UNSTABLE}\U00010000-\U0010ffff]+")
 
