@@ -132,14 +132,24 @@ _RANGE_SQL = "SELECT p.p_partkey, count(*) AS n_cheaper FROM part p JOIN part q
 
 @query(_RANGE_SQL)
 def join_range(spark, d):
-    """A range condition becomes an equi join on buckets of the range's width, so no pair outside two buckets meets."""
-    width = 50.0
-    p = _t(spark, d, "part")[0].select("p_partkey", "p_brand", "p_retailprice")
-    left = p.withColumn("b", F.floor(F.col("p_retailprice") / width))
-    left = left.withColumn("bucket", F.explode(F.array("b", F.col("b") - 1)))
-    q = p.select(F.col("p_brand").alias("q_brand"), F.col("p_retailprice").alias("q_price"), F.floor(F.col("p_retailprice") / width).alias("q_bucket"))
-    hit = (left.p_brand == q.q_brand) & (left.bucket == q.q_bucket) & (q.q_price < left.p_retailprice) & (q.q_price >= left.p_retailprice - width)
-    return left.join(q, hit).groupBy("p_partkey").agg(F.count("*").alias("n_cheaper"))
+    """Pairs are counted, never made: each distinct price of a brand asks how many rows lie below it and how many below its lower bound.
+
+    Rows are counted by running sums in cells wider than the range, so a question concerns its own cell and the one before only.
+    """
+    width, cell = 50.0, 64.0  # a power of two: cells are exact, and a lower bound is at most one cell away
+    p = _t(spark, d, "part")[0].select("p_partkey", "p_brand", "p_retailprice").where("p_brand is not null and p_retailprice is not null and not isnan(p_retailprice)")  # no others pair
+    cell_of = lambda c: F.floor(c / cell)
+    prices = p.groupBy(F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price")).agg(F.count("*").alias("n"))
+    low = F.col("price") - width
+    itself = F.struct(F.col("price").alias("at"), cell_of(F.col("price")).alias("cell"), F.col("n").alias("n"), F.lit(1).alias("side"))
+    bound = F.struct(low.alias("at"), cell_of(low).alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("side"))
+    asked = prices.select("brand", "price", F.inline(F.array(itself, bound)))
+    w = Window.partitionBy("brand", "cell").orderBy("at", "side")  # a bound comes before the rows of its price
+    asked = asked.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "in_cell": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # rows below the price in its cell, less those below the bound; a bound in the cell before brings the rest of that cell
+    share = F.when(F.col("side") == 1, F.col("upto") - F.col("n")).when(F.col("cell") == cell_of(F.col("price")), -F.col("upto")).otherwise(F.col("in_cell") - F.col("upto"))
+    cheaper = asked.select("brand", "price", share.alias("n")).groupBy("brand", "price").agg(F.sum("n").alias("n")).where("n > 0")
+    return p.join(cheaper, (p.p_brand == cheaper.brand) & (p.p_retailprice == cheaper.price)).groupBy("p_partkey").agg(F.sum("n").alias("n_cheaper"))
 
 
 @query("SELECT o_orderkey, word FROM (SELECT o_orderkey, unnest(string_split(o_orderpriority, '-')) AS word FROM orders)")
